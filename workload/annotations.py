@@ -1 +1,156 @@
-"""Queries."""
+"""Polygons, run-length masks, overlap and dataset merge (survey groups D, F, H)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskloom.operators import masks as mk
+from workload.registry import query
+from workload.tables import SIDE
+
+
+def polygon_px(t, *carry):
+    return mk.runs_to_pixels(mk.polygon_runs(
+        t.polygons.withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)}), ["ann_id", "image_id", *carry]
+    ))
+
+
+@query("polygon_rasterize", 'SELECT ann_id, image_id, "row", col FROM ann_px', "ann_px")
+def _rasterize(t):
+    return polygon_px(t)
+
+
+RECT_COUNTS = """
+SELECT ann_id, CASE WHEN x0 * 32 + y0 > -1 THEN x0 * 32 + y0 END AS lead_gap, h, w, x0, y0 FROM ann
+"""
+
+
+@query("runs_to_mask", 'SELECT ann_id, "row", col FROM ann_px', "ann_px")
+def _runs_to_mask(t):
+    # Through the compressed text form and back, so both directions are exercised.
+    text = t.counts.select("ann_id", mk.compress_counts(F.col("counts")).alias("text"))
+    counts = mk.decompress_counts(text, ["ann_id"], "text")
+    good, _ = mk.split_rle(counts.withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)}), "counts", "height", "width")
+    flat = mk.counts_to_flat_runs(good, ["ann_id"])
+    return mk.flat_runs_to_pixels(flat, ["ann_id"], SIDE, column_major=True)
+
+
+@query("rle_rejects", """
+SELECT CASE WHEN bad = 1 THEN 'counts do not fill the image' ELSE 'ok' END AS outcome, count(*) AS n
+FROM (SELECT CASE WHEN order_idx % 13 = 0 THEN 1 ELSE 0 END AS bad FROM ann) a GROUP BY ALL
+""", "ann")
+def _rle_rejects(t):
+    broken = t.counts.withColumn(
+        "counts", F.when(F.col("order_idx") % 13 == 0, F.slice("counts", 1, F.size("counts") - 1)).otherwise(F.col("counts"))
+    ).withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
+    good, bad = mk.split_rle(broken, "counts", "height", "width")
+    both = good.select(F.lit("ok").alias("outcome")).unionAll(bad.select(F.col("reason").alias("outcome")))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("mask_to_runs", """
+WITH f AS (SELECT image_id, pred_refined AS class_id, col * 32 + "row" AS idx FROM px WHERE pred_refined > 0),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY image_id, class_id ORDER BY idx) AS island FROM f)
+SELECT image_id, class_id, min(idx) AS start, count(*) AS len FROM g GROUP BY image_id, class_id, island
+""", "px")
+def _mask_to_runs(t):
+    fg = t.px.where("pred_refined > 0").withColumn("class_id", F.col("pred_refined"))
+    return mk.flat_runs(fg, ["image_id", "class_id"], SIDE, column_major=True)
+
+
+@query("mask_to_counts", """
+WITH f AS (SELECT image_id, pred_refined AS class_id, col * 32 + "row" AS idx FROM px WHERE pred_refined > 0),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY image_id, class_id ORDER BY idx) AS island FROM f),
+r AS (SELECT image_id, class_id, min(idx) AS s, count(*) AS n FROM g GROUP BY image_id, class_id, island),
+q AS (SELECT *, s - coalesce(lag(s + n) OVER w, 0) AS gap, row_number() OVER w AS i,
+        max(s + n) OVER (PARTITION BY image_id, class_id) AS fin FROM r WINDOW w AS (PARTITION BY image_id, class_id ORDER BY s))
+SELECT image_id, class_id, string_agg(gap || ',' || n, ',' ORDER BY i) || CASE WHEN max(fin) < 1024 THEN ',' || (1024 - max(fin)) ELSE '' END AS counts
+FROM q GROUP BY image_id, class_id
+""", "px")
+def _mask_to_counts(t):
+    fg = t.px.where("pred_refined > 0").withColumn("class_id", F.col("pred_refined"))
+    flat = mk.flat_runs(fg, ["image_id", "class_id"], SIDE, column_major=True)
+    counts = mk.rle_counts(flat, ["image_id", "class_id"], SIDE * SIDE)
+    return counts.select("image_id", "class_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
+PAINT = """
+SELECT image_id, "row", col, arg_max(category_id, {key}) AS class_id FROM
+(SELECT *, CASE WHEN area <= 0 THEN CAST(w * h AS DOUBLE) ELSE area END AS a FROM ann_px) p GROUP BY image_id, "row", col
+"""
+
+
+def painted(t, policy):
+    from maskloom.operators.statistics import polygon_area
+
+    sized = t.polygons.withColumn(
+        "area", F.when(F.col("area") <= 0, polygon_area(F.col("polygon"))).otherwise(F.col("area"))
+    ).withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
+    ranked = mk.paint_order(sized, policy, ["order_idx", "ann_id"])
+    runs = mk.polygon_runs(ranked, ["image_id", "category_id", "paint_rank"])
+    return mk.overlap_resolve(mk.runs_to_pixels(runs), "category_id").withColumnRenamed("category_id", "class_id")
+
+
+@query("overlap_resolve", PAINT.format(key="(a, order_idx, ann_id)"), "ann_px")
+def _overlap_area(t):
+    return painted(t, "higher_area_wins")
+
+
+@query("overlap_resolve_last", PAINT.format(key="(order_idx, ann_id)"), "ann_px")
+def _overlap_last(t):
+    return painted(t, "last_annotation_wins")
+
+
+@query("seed_masks_from_annotations", f"""
+WITH painted AS ({PAINT.format(key='(a, order_idx, ann_id)')})
+SELECT 'img_' || image_id || '__cid_' || class_id || f.suffix AS path, count(*) AS pixels
+FROM painted CROSS JOIN (VALUES ('.png'), ('__frozen.png')) f(suffix) GROUP BY ALL
+""", "ann_px")
+def _seed(t):
+    from maskloom.plans.seeding import seed_masks
+
+    return seed_masks(painted(t, "higher_area_wins"), t.images.withColumn(
+        "file_name", F.lower("file_name")
+    ), frozen=True).groupBy("path").agg(F.sum("col_len").alias("pixels"))
+
+
+@query("mask_union", """
+SELECT image_id, class_id, count(*) AS pixels FROM (
+  SELECT image_id, category_id AS class_id, "row", col FROM ann_px
+  UNION SELECT image_id, pred_raw, "row", col FROM px WHERE pred_raw > 0) u GROUP BY ALL
+""", "ann_px px")
+def _union(t):
+    drawn = polygon_px(t, "category_id").select("image_id", F.col("category_id").alias("class_id"), "row", "col")
+    live = t.px.where("pred_raw > 0").select("image_id", F.col("pred_raw").alias("class_id"), "row", "col")
+    return mk.mask_union(drawn, live).groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"))
+
+
+@query("mask_difference", """
+SELECT DISTINCT p.image_id, p.pred_raw AS class_id, p.seg_id FROM px p
+WHERE p.pred_raw > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT image_id, category_id, "row", col FROM ann_px WHERE area > 40) a
+  WHERE a.image_id = p.image_id AND a.category_id = p.pred_raw AND a."row" = p."row" AND a.col = p.col)
+""", "ann_px px")
+def _difference(t):
+    big = mk.runs_to_pixels(mk.polygon_runs(
+        t.polygons.where("area > 40").withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)}),
+        ["image_id", "category_id", "ann_id"],
+    ))
+    frozen = big.select("image_id", F.col("category_id").alias("class_id"), "row", "col")
+    saved = t.px.where("pred_raw > 0").select("image_id", F.col("pred_raw").alias("class_id"), "row", "col")
+    editable = mk.mask_difference(saved, frozen, ["image_id", "class_id"])
+    return mk.touched_regions(editable, t.px, ["image_id", "class_id"])
+
+
+@query("runs_to_pixels", """
+SELECT image_id, idx // 32 AS "row", idx % 32 AS col FROM (
+  SELECT DISTINCT user_id AS image_id, unnest(range(least(greatest(event_id * 7 % 1100 - 40, 0), 1024),
+     least(least(greatest(event_id * 7 % 1100 - 40, 0), 1024) + event_id % 30, 1024))) AS idx FROM events WHERE event_id % 30 > 0) r
+""")
+def _runs_to_pixels(t):
+    rois = t.read("events").selectExpr(
+        "user_id AS image_id", "array(named_struct('start', event_id * 7 % 1100 - 40, 'len', event_id % 30)) AS runs",
+        f"{SIDE} AS height", f"{SIDE} AS width",
+    )
+    flat = mk.roi_runs(rois, ["image_id"], "runs", "height", "width")
+    px = mk.flat_runs_to_pixels(flat, ["image_id"], "width").distinct()
+    return px.select("image_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
