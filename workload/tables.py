@@ -48,7 +48,7 @@ FROM supplier
 """
 
 VIEWS["ann"] = """
-SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ann_id,
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT) AS ann_id,
        l_suppkey AS image_id, CAST(1 + l_linenumber % 3 AS INTEGER) AS category_id,
        l_orderkey * 8 + l_linenumber AS order_idx,
        CAST(l_partkey % 24 AS INTEGER) AS x0, CAST(l_orderkey % 24 AS INTEGER) AS y0,
@@ -161,7 +161,7 @@ FROM orders
 """
 
 VIEWS["run_items"] = """
-SELECT l_orderkey AS run_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS item_id,
+SELECT l_orderkey AS run_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT) AS item_id,
        l_suppkey AS image_id,
        CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'uploads/img_' || l_suppkey || '.png' END AS input_image,
        CASE WHEN l_linenumber % 3 = 0 THEN 'refined/' || l_partkey || '.png' END AS refined_path,
@@ -267,7 +267,7 @@ class Tables:
     def ann(self) -> DataFrame:
         return self._sql(
             "lineitem",
-            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ann_id",
+            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity AS bigint)) AS ann_id",
             "l_suppkey AS image_id", "1 + l_linenumber % 3 AS category_id",
             "l_orderkey * 8 + l_linenumber AS order_idx",
             "cast(l_partkey % 24 AS int) AS x0", "cast(l_orderkey % 24 AS int) AS y0",
@@ -432,7 +432,7 @@ class Tables:
     def run_items(self) -> DataFrame:
         return self._sql(
             "lineitem", "l_orderkey AS run_id",
-            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_id",
+            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity AS bigint)) AS item_id",
             "l_suppkey AS image_id",
             "CASE WHEN l_partkey % 9 = 0 THEN '' ELSE concat('uploads/img_', l_suppkey, '.png') END AS input_image",
             "CASE WHEN l_linenumber % 3 = 0 THEN concat('refined/', l_partkey, '.png') END AS refined_path",
