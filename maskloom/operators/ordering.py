@@ -57,10 +57,10 @@ def running_total(df: DataFrame, order, value: str, out: str, keys: list[str] |
     within = (
         Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    summed = ranged.withColumn("_sum", F.sum(value).over(within))
+    summed = ranged.withColumn("_within", F.sum(value).over(within))
     return summed.join(offsets, ["_range", *keys]).withColumn(
-        out, F.col("_before") + F.col("_sum")
-    ).drop("_range", "_before", "_sum")
+        out, F.col("_before") + F.col("_within")
+    ).drop("_range", "_before", "_within")
 
 
 def top_k(df: DataFrame, keys: list[str], order, k: int, out: str = "rank", spread: Column | None = None) -> DataFrame:
