@@ -87,9 +87,9 @@ VIEWS["clicks"] = "SELECT * FROM edits WHERE mode IN ('add', 'remove')"
 
 VIEWS["seg_feat"] = """
 SELECT vec_id AS seg_id, label,
-       list_transform(embedding[1:3], x -> CAST(x AS DOUBLE) * 100) AS lab,
-       list_transform(embedding[4:13], x -> abs(CAST(x AS DOUBLE))
-            / list_sum(list_transform(embedding[4:13], y -> abs(CAST(y AS DOUBLE))))) AS hist
+       list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE) * 100) AS lab,
+       list_transform(embedding[4:13], lambda x: abs(CAST(x AS DOUBLE))
+            / list_sum(list_transform(embedding[4:13], lambda y: abs(CAST(y AS DOUBLE))))) AS hist
 FROM embeddings
 """
 
