@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,47 +153,55 @@ def lbp_codes(px: DataFrame, value: str, points: int, radius: int, method: str =
     neighbourhoods count as "not darker" whatever the interpolation rounding.
     """
     lines = neighbour_lines(px, value, radius)
+    around = [F.try_element_at("_rows", F.lit(d)) for d in range(-radius, radius + 1)]
+    coded = lines.select("image_id", "row", _lbp_lines(points, radius, method)(*around).alias("_codes"))
+    return coded.select("image_id", "row", F.posexplode("_codes").alias("col", out))
 
-    def sample(c: Column, p: int) -> Column:
+
+def _lbp_lines(points: int, radius: int, method: str):
+    """Codes of a batch of raster lines, each given with its neighbour lines (NULL off the image)."""
+    samples = []
+    for p in range(points):
         dr = round(-radius * math.sin(2 * math.pi * p / points), 5)
         dc = round(radius * math.cos(2 * math.pi * p / points), 5)
         r0, c0 = math.floor(dr), math.floor(dc)
-        fr, fc = dr - r0, dc - c0
-        total = F.lit(0.0)
-        for i, wr in ((r0, 1 - fr), (r0 + 1, fr)):
-            for k, wc in ((c0, 1 - fc), (c0 + 1, fc)):
-                if wr * wc == 0:
-                    continue
-                line = F.try_element_at("_rows", F.lit(i))
-                inside = F.when(c + k >= 0, F.get(line, c + k))
-                total = total + F.coalesce(inside, F.lit(0.0)) * (wr * wc)
-        return total
-
-    def bits(c: Column) -> Column:
-        center = F.get(F.element_at("_rows", F.lit(0)), c)
-        return F.array(*[(F.bround(sample(c, p) - center, 6) >= 0).cast("int") for p in range(points)])
-
-    def code(b: Column) -> Column:
-        ones = F.aggregate(b, F.lit(0), lambda acc, v: acc + v)
+        corners = [
+            (i, k, wr * wc)
+            for i, wr in ((r0, 1 - (dr - r0)), (r0 + 1, dr - r0))
+            for k, wc in ((c0, 1 - (dc - c0)), (c0 + 1, dc - c0)) if wr * wc
+        ]
+        samples.append(corners)
+
+    def codes(block: dict[int, np.ndarray], length: int) -> np.ndarray:
+        center = block[0][:, radius: radius + length]
+        bits = np.stack([
+            np.round(sum(block[i][:, radius + k: radius + k + length] * w for i, k, w in corners) - center, 6) >= 0
+            for corners in samples
+        ]).astype(np.int64)
         if method == "uniform":
-            turns = F.aggregate(
-                F.zip_with(F.slice(b, 1, points - 1), F.slice(b, 2, points - 1), lambda x, y: (x != y).cast("int")),
-                F.lit(0), lambda acc, v: acc + v,
-            )
-            return F.when(turns <= 2, ones).otherwise(points + 1).cast("double")
-        weigh = lambda arr: F.aggregate(
-            F.transform(arr, lambda v, i: v * F.pow(F.lit(2.0), i)), F.lit(0.0), lambda acc, v: acc + v
-        )
+            turns = (bits[1:] != bits[:-1]).sum(axis=0)
+            return np.where(turns <= 2, bits.sum(axis=0), points + 1)
+        powers = (1 << np.arange(points)).reshape(-1, 1, 1)
         if method == "default":
-            return weigh(b)
-        turned = [F.concat(F.slice(b, s + 1, points - s), F.slice(b, 1, s)) for s in range(points)]
-        return F.array_min(F.array(*[weigh(x) for x in turned]))
-
-    width = F.size(F.element_at("_rows", F.lit(0)))
-    coded = lines.select(
-        "image_id", "row", F.transform(F.sequence(F.lit(0), width - 1), bits).alias("_bits")
-    )
-    return coded.select("image_id", "row", F.posexplode(F.transform("_bits", code)).alias("col", out))
+            return (bits * powers).sum(axis=0)
+        return np.min([(np.roll(bits, -s, axis=0) * powers).sum(axis=0) for s in range(points)], axis=0)
+
+    def run(*lines: pd.Series) -> pd.Series:
+        lengths = lines[radius].map(len).to_numpy()
+        out = np.empty(len(lengths), dtype=object)
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
+            off = np.zeros(length)
+            block = {
+                d - radius: np.pad(
+                    np.stack([off if v is None else v for v in line.to_numpy()[rows]]), ((0, 0), (radius, radius))
+                )
+                for d, line in enumerate(lines)
+            }
+            out[rows] = list(codes(block, length).astype(np.float64))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")
 
 
 # --- the stack --------------------------------------------------------------------------------
@@ -273,7 +283,7 @@ def feature_stack(px: DataFrame, config: FeatureConfig, carry: list[str] = []) -
             "structure_tensor_orientation": (F.atan2(F.col("_arc") * 2, diff) / 2 + math.pi / 2) / math.pi,
         })
     if config.lbp_radii:
-        stage = _with_lbp(stage, config)
+        stage = _with_lbp(stage, base, config)
     return stage.select("image_id", "row", "col", *carry, *[F.col(_plain(c)).cast("float").alias(c) for c in published])
 
 
@@ -281,8 +291,8 @@ def _plain(name: str) -> str:
     return name.replace(".", "p")
 
 
-def _with_lbp(stage: DataFrame, config: FeatureConfig) -> DataFrame:
-    gray = stage.select(
+def _with_lbp(stage: DataFrame, base: DataFrame, config: FeatureConfig) -> DataFrame:
+    gray = base.select(
         "image_id", "row", "col", F.greatest(F.least(F.bround(F.col("gray01") * 255), F.lit(255.0)), F.lit(0.0)).alias("_g")
     )
     for r in dict.fromkeys(config.lbp_radii):
