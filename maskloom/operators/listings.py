@@ -160,11 +160,9 @@ def step_select(
         return full.unionByName(base).dropDuplicates([key])
     order = [F.col(name), F.col(key)] if mode == "fifo" else [seeded_key(seed, F.col(key)), F.col(key)]
     placed = ordered_index(images.withColumns({f"_o{i}": o for i, o in enumerate(order)}), ["_o0", "_o1"], "_i")
-    total = images.agg(F.count("*").alias("_total"))
-    count = half_even(F.lit(float(percent)) / 100.0 * F.col("_total"))
+    count = half_even(F.lit(float(percent)) / 100.0 * images.agg(F.count("*")).scalar())
     k = F.when(F.lit(percent > 0) & (count == 0), F.lit(1.0)).otherwise(count)
-    # ``total`` is a single row.
-    return placed.crossJoin(F.broadcast(total)).where(F.col("_i") <= k).drop("_i", "_o0", "_o1", "_total")
+    return placed.where(F.col("_i") <= k).drop("_i", "_o0", "_o1")
 
 
 def status_bucket(status: Column) -> Column:

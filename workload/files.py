@@ -102,8 +102,8 @@ WHERE source = (SELECT min(source) FROM documents)
 """)
 def _registered(t):
     docs = t.read("documents")
-    first = docs.agg(F.min("source").alias("_first"))
-    named = docs.crossJoin(F.broadcast(first)).where("source <> _first").selectExpr(
+    first = docs.agg(F.min("source")).scalar()
+    named = docs.where(F.col("source") != first).selectExpr(
         "source AS source_id", "doc_id AS pos",
         "concat(IF(doc_id % 3 = 0, upper(lang), lang), '_', doc_id DIV 6, '.png') AS file_name",
     )

@@ -38,9 +38,9 @@ SELECT lang, count(*) AS total, sum((lower(file_name) LIKE '%c_1%' AND source =
 FROM library GROUP BY lang
 """.replace("'%c_1%'", "'%c\\_1%' ESCAPE '\\'"), "library")
 def _facets(t):
-    first = t.read("documents").agg(F.min("source").alias("_s"))
+    first = t.read("documents").agg(F.min("source")).scalar()
     flagged = ls.search_facets(t.library, " C_1 ", ["file_name"], {})
-    narrowed = flagged.crossJoin(F.broadcast(first)).withColumn("visible", F.expr("visible AND source = _s"))
+    narrowed = flagged.withColumn("visible", F.col("visible") & (F.col("source") == first))
     return ls.facet_counts(narrowed, "lang")
 
 
