@@ -191,6 +191,21 @@ def raster_export(px: DataFrame, label: str) -> DataFrame:
     )
 
 
+# Snapshot views by id: function of (items, images, revisions, label pixels) to one row per item.
+SNAPSHOT_BUILDERS = {
+    "canonical_semantic_dataset": lambda items, images, revisions, px: manifest_items(items, images, revisions),
+    "raster_mask_export": lambda items, images, revisions, px: items.join(raster_export(px, "label"), "image_id").select(
+        "dataset_id", "image_id", F.to_json(F.struct("image_id", "mask_checksum", "largest_class")).alias("item")
+    ),
+}
+
+
+def build_snapshot(builder: str, items: DataFrame, images: DataFrame, revisions: DataFrame, px: DataFrame) -> DataFrame:
+    if builder not in SNAPSHOT_BUILDERS:
+        raise KeyError(f"unknown snapshot builder: {builder}")
+    return SNAPSHOT_BUILDERS[builder](items, images, revisions, px)
+
+
 # Builder registry: id to item extras, so callers can add their own dataset builds.
 DATASET_BUILDERS = {
     "classical.dataset": {"task_type": "semantic_segmentation", "feature_mode": "baseline-copy"},

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ShortType
 
 from maskloom.functions.strings import base_name, extension, stem
 
@@ -41,7 +42,6 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<smallint>")
 def _bytes_as_numbers(slices: pd.Series) -> pd.Series:
     return slices.map(lambda raw: np.frombuffer(raw, dtype=np.uint8).astype(np.int16))
 
@@ -58,7 +58,8 @@ def image_to_pixels(images: DataFrame, keys: list[str]) -> DataFrame:
     ).select(
         *keys, "width", "nChannels", "row", F.substring("data", F.col("row") * stride + 1, stride).alias("_slice")
     )
-    numbered = lines.withColumn("_v", _bytes_as_numbers("_slice"))
+    numbers = F.pandas_udf(_bytes_as_numbers, ArrayType(ShortType()))
+    numbered = lines.withColumn("_v", numbers("_slice"))
     cells = numbered.select(
         *keys, "row", "nChannels", "_v", F.explode(F.expr("sequence(0, width - 1)")).alias("col")
     )

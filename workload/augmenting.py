@@ -171,3 +171,13 @@ def _augment_masks(t):
 @query("transform_counts", f"WITH {PLAN} SELECT step, transform, count(*) AS images FROM pl GROUP BY ALL", "images")
 def _counts(t):
     return plan.transform_counts(_plan(t))
+
+
+def invert(px, settings={}, seed=0):
+    return px.withColumns({c: (255 - F.col(c)).cast("int") for c in au.RGB})
+
+
+@query("transform_plugin", 'SELECT image_id, "row", col, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM px', "px")
+def _plugin(t):
+    au.register_transform("invert", invert)
+    return au.apply_transform(t.px, "invert").select(*PX)

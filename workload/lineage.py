@@ -161,6 +161,20 @@ def _builders(t):
     return frames[0].unionByName(frames[1]).drop("items_checksum")
 
 
+@query("snapshot_builder", f"""
+WITH {HEADS} SELECT h.dataset_id, h.image_id, b.builder_id, CASE b.builder_id WHEN 'raster_mask_export' THEN '{{"image_id":' || h.image_id || ',"mask_checksum":"' || x.h || '","largest_class":' || m.top || '}}'
+  ELSE '{{"image_id":' || h.image_id || ',"source_path":"' || i.file_name || '","width":32,"height":32,"annotation_revision_id":' || h.revision_id || ',"revision_checksum":"' || r.checksum || '"}}' END AS item
+FROM heads h JOIN images i ON i.image_id = h.image_id JOIN revisions r ON r.revision_id = h.revision_id JOIN (SELECT image_id, max(pred_refined) AS top FROM px GROUP BY image_id) m ON m.image_id = h.image_id
+JOIN {line_hash('pred_refined')} x ON x.image_id = h.image_id CROSS JOIN (VALUES ('canonical_semantic_dataset'), ('raster_mask_export')) b(builder_id)
+""", "revisions images px")
+def _snapshot_builders(t):
+    px = t.px.select("image_id", "row", "col", F.col("pred_refined").alias("label"))
+    frames = [
+        rv.build_snapshot(name, _items(t), t.images, t.revisions, px).withColumn("builder_id", F.lit(name)) for name in rv.SNAPSHOT_BUILDERS
+    ]
+    return frames[0].unionByName(frames[1])
+
+
 @query("raster_export_manifest", f"""
 SELECT a.image_id, a.h AS mask_checksum, m.top AS largest_class FROM {line_hash('pred_refined')} a
 JOIN (SELECT image_id, max(pred_refined) AS top FROM px GROUP BY image_id) m ON m.image_id = a.image_id

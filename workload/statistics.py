@@ -9,7 +9,9 @@ from maskloom.operators import statistics as st
 from workload.registry import query
 from workload.tables import CLASS_IDS, CLASSES
 
-RUN = F.expr("image_id % 5")
+def run_of():
+    """Five runs over the images."""
+    return F.expr("image_id % 5")
 
 
 @query("class_counts", """
@@ -68,7 +70,7 @@ SELECT *, coalesce(round_even(flipped_out_pixels / nullif(raw_pixels, 0)::DOUBLE
 FROM ({FLIPS}) f
 """, "px classes")
 def _flip_stats(t):
-    pairs = st.label_pairs(t.px.withColumn("run_id", RUN), "pred_raw", "pred_refined", ["run_id"])
+    pairs = st.label_pairs(t.px.withColumn("run_id", run_of()), "pred_raw", "pred_refined", ["run_id"])
     out = st.flip_stats(pairs, CLASSES, ["run_id"])
     return out.drop("name").withColumns({
         c: half_even(F.col(c), 6) for c in ("flipped_out_rate", "flipped_in_rate")
@@ -92,7 +94,7 @@ FROM (SELECT image_id % 5 AS run_id, image_id, pred_raw AS class_id FROM px) p
 GROUP BY ROLLUP (run_id, image_id, class_id) HAVING grouping(run_id, image_id, class_id) < 7
 """, "px")
 def _run_rollup(t):
-    out = st.run_rollup(t.px.withColumn("run_id", RUN), "pred_raw", "run_id")
+    out = st.run_rollup(t.px.withColumn("run_id", run_of()), "pred_raw", "run_id")
     return out.fillna(-1, subset=["image_id", "class_id"])
 
 
@@ -104,7 +106,7 @@ FROM (SELECT r.run_id, k.class_id, count(p.image_id) AS pixels
       LEFT JOIN px p ON p.image_id % 5 = r.run_id AND p.pred_refined = k.class_id GROUP BY ALL) c
 """, "px images classes")
 def _run_area(t):
-    per_image = st.class_counts(t.px, "pred_refined").withColumn("run_id", RUN)
+    per_image = st.class_counts(t.px, "pred_refined").withColumn("run_id", run_of())
     return st.aggregate_area(per_image, CLASSES, ["run_id"]).select(
         "run_id", "class_id", "pixels", half_even(F.col("percent"), 6).alias("percent")
     )
@@ -139,7 +141,12 @@ def _region_means(t):
     return out.withColumns({c: half_even(F.col(c), 6) for c in ("mean_r", "mean_g", "mean_b")})
 
 
-PROBA = {f"p{c}": F.expr(f"CASE WHEN pred_raw = {c} THEN conf_u8 ELSE 0 END / 255D") for c in CLASS_IDS}
+PROBA = [f"p{c}" for c in CLASS_IDS]
+
+
+def proba_of():
+    """One-sided class probabilities from the predicted class and its confidence."""
+    return {f"p{c}": F.expr(f"CASE WHEN pred_raw = {c} THEN conf_u8 ELSE 0 END / 255D") for c in CLASS_IDS}
 
 
 @query("region_probabilities", """
@@ -153,8 +160,8 @@ FROM (SELECT *, p0 + p1 + p2 + p3 AS s FROM (
   FROM px GROUP BY ALL) a) b
 """, "px")
 def _region_probabilities(t):
-    px = t.px.withColumns(PROBA)
-    out = st.region_probabilities(px, list(PROBA))
+    px = t.px.withColumns(proba_of())
+    out = st.region_probabilities(px, PROBA)
     return out.withColumns({c: half_even(F.col(c), 6) for c in PROBA})
 
 
