@@ -92,7 +92,7 @@ def read_label_grids(spark: SparkSession, path: str) -> DataFrame:
 def read_plain_grid(spark: SparkSession, path: str) -> DataFrame:
     """Plain grid files (no row numbers): each file is one image, read whole so lines keep order."""
     files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.split(F.trim("value"), "\n").alias("_lines")
+        F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("_lines")
     )
     rows = files.select("file", F.posexplode("_lines").alias("row", "_line"))
     return rows.select("file", "row", F.posexplode(F.split("_line", ",")).alias("col", "_v")).select(
