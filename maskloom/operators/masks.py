@@ -24,8 +24,8 @@ def polygon_runs(
     """Scan-convert flat x, y outlines into line runs clipped to the image.
 
     Rule: a pixel belongs to the polygon when its centre is inside by the even-odd test, with
-    half-open rows (``y1 <= row < y2``).  Each edge is spread over the rows it spans, crossings are
-    sorted per row and paired; work is proportional to outline height, not to pixels.
+    half-open rows (``y1 <= row < y2``).  An outline is spread over the rows it spans with its edges;
+    crossings are sorted per row and paired.  Nothing is exchanged between tasks.
     Outlines below three points and odd-length lists give nothing.
     """
     h = F.col(height) if isinstance(height, str) else F.lit(height)
@@ -40,20 +40,22 @@ def polygon_runs(
             F.get(F.col(flat), j * 2).alias("x2"), F.get(F.col(flat), j * 2 + 1).alias("y2"),
         )
 
-    edges = polygons.where(usable).select(
+    def spanning(edges: str, reduce_top, pick) -> Column:
+        return reduce_top(F.transform(edges, lambda e: pick(e["y1"], e["y2"])))
+
+    outlines = polygons.where(usable).select(
         *keys, h.alias("_h"), w.alias("_w"),
-        F.explode(F.transform(F.sequence(F.lit(0), n - 1), edge)).alias("e"),
-    ).where("e.y1 <> e.y2")
-    top = F.least("e.y1", "e.y2")
-    bottom = F.greatest("e.y1", "e.y2")
-    first = F.greatest(F.ceil(top), F.lit(0)).cast("int")
-    last = F.least(F.ceil(bottom) - 1, F.col("_h") - 1).cast("int")
-    spans = edges.withColumns({"_a": first, "_b": last}).where("_a <= _b")
-    crossings = spans.select(*keys, "_w", "e", F.explode(F.sequence("_a", "_b")).alias("row")).select(
-        *keys, "_w", "row",
-        (F.expr("e.x1 + (row - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)")).alias("_x"),
+        F.filter(F.transform(F.sequence(F.lit(0), n - 1), edge), lambda e: e["y1"] != e["y2"]).alias("_edges"),
+    ).where(F.size("_edges") > 0)
+    first = F.greatest(F.ceil(spanning("_edges", F.array_min, F.least)), F.lit(0)).cast("int")
+    last = F.least(F.ceil(spanning("_edges", F.array_max, F.greatest)) - 1, F.col("_h") - 1).cast("int")
+    spans = outlines.withColumns({"_a": first, "_b": last}).where("_a <= _b")
+    lines = spans.select(*keys, "_w", "_edges", F.explode(F.sequence("_a", "_b")).alias("row"))
+    at_row = F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= F.col("row")) & (F.col("row") < F.greatest(e["y1"], e["y2"])))
+    crossing = F.transform(
+        at_row, lambda e: e["x1"] + (F.col("row") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
     )
-    rows = crossings.groupBy(*keys, "_w", "row").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    rows = lines.select(*keys, "_w", "row", F.sort_array(crossing).alias("_xs")).where(F.size("_xs") > 1)
     pairs = rows.select(
         *keys, "_w", "row",
         F.explode(F.transform(

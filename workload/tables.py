@@ -278,8 +278,8 @@ class Tables:
 
     @cached_property
     def polygons(self) -> DataFrame:
-        """Annotations with their outline as a flat x, y list."""
-        return self.ann.withColumn(
+        """Annotations with their outline as a flat x, y list, spread out before they fan out."""
+        return self.ann.repartition(self.spark.sparkContext.defaultParallelism, "ann_id").withColumn(
             "polygon",
             F.expr(
                 "cast(array(x0, y0, x0 + w, y0, x0 + w, y0 + h, x0, y0 + h) AS array<double>)"
@@ -288,8 +288,8 @@ class Tables:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """Annotations as uncompressed column-major run counts, background first."""
-        return self.ann.withColumn(
+        """Annotations as uncompressed column-major run counts, background first, spread likewise."""
+        return self.ann.repartition(self.spark.sparkContext.defaultParallelism, "ann_id").withColumn(
             "counts",
             F.expr(
                 f"concat(array(x0*{SIDE} + y0, h), "
