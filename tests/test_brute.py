@@ -5,8 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from maskloom.operators import cleanup, datasets, features, masks, ordering, sampling, smoothing, superpixels
@@ -179,10 +177,10 @@ def test_merge_overlap(spark, action, min_area):
 def graph(spark):
     rows, edges = [], []
     for image in (1, 2):
-        n = 24
+        n = 9
         unary = RNG.random((n, 3)) * 2
         rows += [(image, i, unary[i].tolist()) for i in range(n)]
-        pairs = {tuple(sorted(RNG.choice(n, 2, replace=False).tolist())) for _ in range(50)}
+        pairs = {tuple(sorted(RNG.choice(n, 2, replace=False).tolist())) for _ in range(14)}
         edges += [(image, a, b, float(RNG.random())) for a, b in sorted(pairs)]
     return (
         rows, edges, spark.createDataFrame(rows, "image_id bigint, seg_id bigint, unary array<double>"),
@@ -214,14 +212,14 @@ def sweep(rows, edges, smooth, sweeps):
 @pytest.mark.parametrize("limit", [1000, 1])
 def test_smoothing_in_order(graph, limit):
     rows, edges, v, e = graph
-    got = smoothing.smooth_labels(v, e, 0.9, 3, group_limit=limit)
-    assert {(r["image_id"], r["seg_id"]): r["label"] for r in got.collect()} == sweep(rows, edges, 0.9, 3)
+    got = smoothing.smooth_labels(v, e, 0.9, 2, group_limit=limit)
+    assert {(r["image_id"], r["seg_id"]): r["label"] for r in got.collect()} == sweep(rows, edges, 0.9, 2)
 
 
 def test_energy_never_rises(graph):
     _, _, v, e = graph
     trace = [smoothing.graph_energy(smoothing.initial_labels(v), e, 0.9)]
-    for n in (1, 2, 4):
+    for n in (1, 3):
         labels = smoothing.smooth_labels(v, e, 0.9, n)
         trace.append(smoothing.graph_energy(v.join(labels, ["image_id", "seg_id"]), e, 0.9))
     values = [{r["image_id"]: r["energy"] for r in t.collect()} for t in trace]
@@ -290,17 +288,20 @@ def test_lbp_constant_image_and_range(raster, method):
 
 # --- runs -------------------------------------------------------------------------------------
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(hs.lists(hs.booleans(), min_size=35, max_size=35).filter(any))
-def test_rle_round_trip(spark, bits):
-    cells = [(1, i // 7, i % 7) for i, on in enumerate(bits) if on]
+def test_rle_round_trip(spark):
+    rnd, cells = random.Random(9), []
+    for mask in range(80):
+        density = rnd.choice([0.05, 0.3, 0.5, 0.9, 1.0])
+        cells += [(mask, i // 7, i % 7) for i in range(35) if rnd.random() < density or i == mask % 35]
     px = spark.createDataFrame(cells, "id int, row int, col int")
     counts = masks.rle_counts(masks.flat_runs(px, ["id"], 5, column_major=True), ["id"], 35)
     text = counts.select("id", masks.compress_counts(F.col("counts")).alias("text"))
     again = masks.decompress_counts(text, ["id"], "text")
-    assert again.first()["counts"] == counts.first()["counts"] and sum(again.first()["counts"]) == 35
+    first = {r["id"]: r["counts"] for r in counts.collect()}
+    assert {r["id"]: r["counts"] for r in again.collect()} == first
+    assert all(sum(v) == 35 for v in first.values())
     back = masks.flat_runs_to_pixels(masks.counts_to_flat_runs(again, ["id"]), ["id"], 5, column_major=True)
-    assert {(1, r["row"], r["col"]) for r in back.collect()} == set(cells)
+    assert {(r["id"], r["row"], r["col"]) for r in back.collect()} == set(cells)
 
 
 def test_compressed_text_of_large_counts(spark):
