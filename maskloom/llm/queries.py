@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import bpe, linededup, packing, pii, quality
+from maskloom.llm import bpe, linededup, nearjoin, packing, pii, quality
 from maskloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_pii, op6_quality, op9_line_dedup, op10_packing)
+    f.__name__: f for f in (op1_bpe, op2_pii, op6_quality, op7_jaccard, op9_line_dedup, op10_packing)
 }
 
 SQL: dict[str, str] = {"op6_quality": quality.SQL, "op9_line_dedup": linededup.SQL}
