@@ -168,6 +168,16 @@ def judge(
     return joined.select(*columns, *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"))
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``judge`` rejects; a row is known by its id and a checksum of its text."""
+    summed = docs.withColumn("_sum", F.hash("text"))
+    kept = judge(summed.select("doc_id", "lang", "source", "text", "_sum")).where("kept").select(
+        F.col("doc_id").alias("_doc"), F.col("_sum").alias("_kept")
+    )
+    same = summed["doc_id"].eqNullSafe(kept["_doc"]) & (summed["_sum"] == kept["_kept"])
+    return summed.join(kept, same, "left_semi").drop("_sum")
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """``doc_id``, the five counts, ``base_failed`` and ``kept`` per document."""
     return judge(docs.select("doc_id", "lang", "source", "text")).select("doc_id", *COUNTS, "base_failed", "kept")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskloom.llm import bpe, linededup, nearjoin, packing, pii, quality
+from maskloom.llm import bpe, linededup, mainext, nearjoin, packing, pii, quality, repeats, topk, toxicity
 from maskloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +22,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -29,6 +43,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return mainext.main_texts(pages, mainext.train(pages))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -38,7 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_pii, op6_quality, op7_jaccard, op9_line_dedup, op10_packing)
+    f.__name__: f for f in (
+        op1_bpe, op2_pii, op3_toxicity, op4_top_k, op5_repeats, op6_quality, op7_jaccard, op8_main_text, op9_line_dedup,
+        op10_packing,
+    )
 }
 
-SQL: dict[str, str] = {"op6_quality": quality.SQL, "op9_line_dedup": linededup.SQL}
+SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op6_quality": quality.SQL, "op9_line_dedup": linededup.SQL}
