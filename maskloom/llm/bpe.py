@@ -24,6 +24,7 @@ from maskloom.llm.common import RecentCache, id_and_text
 # Control characters that Python's split() takes for white space and the vocabulary's
 # normaliser does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+MARKS = frozenset(".,;:!?")
 SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
@@ -55,53 +56,57 @@ class BytePairs:
             self.pairs[vocab[left] << 16 | vocab[right]] = rank << 16 | vocab[left + right]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.piece_ids = RecentCache(self.encode_piece, 100_000)
+        self.piece_ids = RecentCache(self.encode_piece, 150_000)
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
-        raw = piece.encode()
-        symbols = [self.inner[b] for b in raw]
+        raw, inner = piece.encode(), self.inner
+        symbols = [inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
         count = len(symbols)
-        pairs, push, pop = self.pairs, heapq.heappush, heapq.heappop
+        if count == 1:
+            return symbols
+        # An entry is rank, merged id and place in one number, so the least rank leads, leftmost first.
+        shift = 24 if count < 1 << 24 else 40
+        places = (1 << shift) - 1
+        merge_of, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
         heap = []
         for at in range(count - 1):
-            merge = pairs.get(symbols[at] << 16 | symbols[at + 1])
+            merge = merge_of(symbols[at] << 16 | symbols[at + 1])
             if merge is not None:
-                heap.append((merge >> 16) << 40 | at)
+                heap.append(merge << shift | at)
         if not heap:
             return symbols
         heapq.heapify(heap)
         after, before = list(range(1, count + 1)), list(range(-1, count - 1))
         while heap:
             entry = pop(heap)
-            at = entry & 0xFFFFFFFFFF
-            left = symbols[at]
-            right_at = after[at]
-            if left < 0 or right_at >= count:
-                continue
-            merge = pairs.get(left << 16 | symbols[right_at])
-            if merge is None or merge >> 16 != entry >> 40:
-                continue  # stale: a neighbour was merged away since
-            symbols[at] = merged = merge & 0xFFFF
+            at = entry & places
+            left, right_at = symbols[at], after[at]
+            if left < 0 or right_at >= count or merge_of(left << 16 | symbols[right_at]) != entry >> shift:
+                continue  # stale: one of the two was merged away since
+            symbols[at] = merged = (entry >> shift) & 0xFFFF
             symbols[right_at] = -1
             after[at] = beyond = after[right_at]
             if beyond < count:
                 before[beyond] = at
-                merge = pairs.get(merged << 16 | symbols[beyond])
+                merge = merge_of(merged << 16 | symbols[beyond])
                 if merge is not None:
-                    push(heap, (merge >> 16) << 40 | at)
+                    push(heap, merge << shift | at)
             previous = before[at]
             if previous >= 0:
-                merge = pairs.get(symbols[previous] << 16 | merged)
+                merge = merge_of(symbols[previous] << 16 | merged)
                 if merge is not None:
-                    push(heap, (merge >> 16) << 40 | previous)
+                    push(heap, merge << shift | previous)
         return [s for s in symbols if s >= 0]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a text without white space."""
-        if word.isascii() and word.isalpha():
-            return self.piece_ids[word.lower()]
+        # Most words are letters, perhaps with one mark behind them: these are the pieces.
+        letters, mark = (word, "") if word.isalpha() else (word[:-1], word[-1])
+        if (not mark or mark in MARKS and letters.isalpha()) and (letters.isascii() or self.plain(letters)):
+            ids = self.piece_ids[letters.lower()] if len(letters) <= 64 else self.encode_piece(letters.lower())
+            return [*ids, self.last[ord(mark)]] if mark else ids
         ids = []
         for part in self.split_special.split(word) if "<|" in word else (word,):
             if part in self.specials:
@@ -113,6 +118,11 @@ class BytePairs:
                 ids += self.piece_ids[piece] if len(piece) <= 64 else self.encode_piece(piece)
         return ids
 
+    @staticmethod
+    def plain(letters: str) -> bool:
+        """Whether lower case is all that normalising does to the letters."""
+        return "Σ" not in letters and unicodedata.is_normalized("NFC", letters) and letters.lower().isalpha()
+
     def words(self, text: str) -> list[str]:
         if any(c in text for c in NOT_SPACE):
             return regex.findall(r"\S+", text, flags=regex.V1) if False else [
@@ -140,13 +150,13 @@ def printed_words(path: str) -> RecentCache:
         ids = pairs.encode_word(word)
         return " ".join(map(str, ids)), pairs.decode(ids)
 
-    return RecentCache(both, 150_000)
+    return RecentCache(both, 200_000)
 
 
 @functools.lru_cache(maxsize=2)
 def packed_words(path: str) -> RecentCache:
     pairs = load(path)
-    return RecentCache(lambda word: array("I", pairs.encode_word(word)).tobytes(), 250_000)
+    return RecentCache(lambda word: array("I", pairs.encode_word(word)).tobytes(), 300_000)
 
 
 def encode_packed(path: str) -> Callable[[str], bytes]:
