@@ -81,7 +81,7 @@ def test_document_shapes(spark, tmp_path):
 
 def test_document_without_arrays_is_an_error(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"images": []}')
-    with pytest.raises(Exception, match="must include images"):
+    with pytest.raises(Exception, match="lacks one of its three arrays"):
         coco.coco_images(coco.parse_documents(coco.read_documents(spark, str(tmp_path)))).collect()
 
 

@@ -13,11 +13,12 @@ CLASSES = [(0, "background"), (1, "a"), (2, "b")]
 
 
 def test_threshold(raster, grid_of):
-    px = raster({1: {"label": [[1, 1], [2, 2]], "conf": [[255, 100], [200, 50]]}})
-    out = cleanup.threshold_confidence(px, "label", "conf", 50)
-    assert grid_of(out, "thresholded") == [[1, 0], [2, 0]]
-    stats = cleanup.threshold_stats(px, "conf", 50).first()
-    assert (stats["threshold_u8"], stats["applied"], stats["cleared_pixels"]) == (128, True, 2)
+    # 24 per cent of 255 is 61.2, so 61: the two cells below it are cleared, the cell at it stays.
+    px = raster({1: {"label": [[3, 4, 1], [1, 2, 3]], "conf": [[60, 10, 61], [62, 254, 90]]}})
+    out = cleanup.threshold_confidence(px, "label", "conf", 24)
+    assert grid_of(out, "thresholded") == [[0, 0, 1], [1, 2, 3]]
+    stats = cleanup.threshold_stats(px, "conf", 24).first()
+    assert (stats["threshold_u8"], stats["applied"], stats["cleared_pixels"]) == (61, True, 2)
 
 
 def test_threshold_is_half_even(spark):
@@ -26,30 +27,33 @@ def test_threshold_is_half_even(spark):
 
 
 def test_small_blobs(raster, grid_of):
-    grid = [[0] * 5 for _ in range(5)]
-    grid[2][2], grid[0][0], grid[0][1] = 1, 2, 2
-    out = grid_of(cleanup.remove_small_blobs(raster({1: {"label": grid}}), "label", 2), "label")
-    assert out[2][2] == 0 and out[0][:2] == [2, 2]
+    # A bent piece of three stays, a domino and a piece that touches it only at a corner go.
+    grid = [[3, 0, 0, 4], [3, 3, 0, 4], [0, 0, 7, 0]]
+    out = grid_of(cleanup.remove_small_blobs(raster({1: {"label": grid}}), "label", 3), "label")
+    assert out == [[3, 0, 0, 0], [3, 3, 0, 0], [0, 0, 0, 0]]
 
 
 def test_small_holes(raster, grid_of):
-    px = raster({1: {"label": [[1, 1, 1], [1, 0, 1], [1, 1, 1]]}})
-    assert grid_of(cleanup.fill_small_holes(px, "label", 2), "label") == [[1] * 3] * 3
+    # A hole of two is filled when the limit is three, and left when it is two.
+    px = raster({1: {"label": [[5, 5, 5, 5], [5, 0, 0, 5], [5, 5, 5, 5]]}})
+    assert grid_of(cleanup.fill_small_holes(px, "label", 3), "label") == [[5] * 4] * 3
+    assert grid_of(cleanup.fill_small_holes(px, "label", 2), "label")[1] == [5, 0, 0, 5]
 
 
 def test_boundary_band(raster, grid_of):
-    px = raster({1: {"label": [[1, 1, 1, 2, 2, 2, 2]] * 4}})
+    # One class above the other: the two rows that meet, and one more on each side, are cleared.
+    px = raster({1: {"label": [[3] * 3] * 4 + [[6] * 3] * 3}})
     out = grid_of(cleanup.boundary_ignore_band(px, "label", 1), "label")
-    for row in out:
-        assert row[2:4] == [0, 0] and row[0] == 1 and row[6] == 2
+    assert out == [[3] * 3] * 2 + [[0] * 3] * 4 + [[6] * 3]
 
 
 def test_cleanup_chain(raster, grid_of):
-    ring = [[1] * 5, [1, 0, 0, 0, 1], [1, 0, 2, 0, 1], [1, 0, 0, 0, 1], [1] * 5]
-    out, stats = cleanup.cleanup_label_map(raster({1: {"label": ring}}), "label", min_blob_px=2, max_hole_px=10)
-    assert grid_of(out, "label")[2][2] == 1
+    # The speck in the frame's hole goes first, then the hole of two cells is filled.
+    frame = [[4, 4, 4, 4], [4, 9, 0, 4], [4, 4, 4, 4]]
+    out, stats = cleanup.cleanup_label_map(raster({1: {"label": frame}}), "label", min_blob_px=2, max_hole_px=4)
+    assert grid_of(out, "label") == [[4] * 4] * 3
     row = stats.first()
-    assert row["removed_pixels"] == 1 and row["filled_pixels"] >= 1
+    assert (row["removed_pixels"], row["filled_pixels"]) == (1, 2)
 
 
 def test_adjacency(raster):
