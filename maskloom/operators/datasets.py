@@ -57,7 +57,7 @@ def merge_priority(candidates: DataFrame, priority: str, order: list[str]) -> Da
     return ordered_index(candidates.withColumn("_lead", lead), ["_lead", *order], "rank").drop("_lead")
 
 
-def merge_overlap(cover: DataFrame, action: str, min_area: int = 1, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+def merge_overlap(cover: DataFrame, action: str, min_area: int = 1) -> tuple[DataFrame, DataFrame]:
     """Keep, trim or skip overlapping masks in rank order, all images at once.
 
     ``cover``: image_id, rank, row, col.  Returns ``(owned, verdicts)``: pixels each kept mask owns,
@@ -81,9 +81,8 @@ def merge_overlap(cover: DataFrame, action: str, min_area: int = 1, max_rounds:
             return owned, _verdicts(cover, state, action, min_area)
         return _owners(cover, state), _verdicts(cover, state, action, min_area)
     state = cut(areas.withColumn("kept", F.when(F.col("area") < min_area, F.lit(False))))
-    for _ in range(max_rounds):
-        if state.where("kept IS NULL").limit(1).isEmpty():
-            break
+    # The first undecided mask of all is decided in every round, so the rounds end.
+    while not state.where("kept IS NULL").limit(1).isEmpty():
         live = cover.join(state.where("kept IS NULL OR kept"), "rank")
         tops = live.groupBy(*pixel).agg(
             F.min(F.when(F.col("kept"), F.col("rank"))).alias("_k"),
@@ -100,8 +99,6 @@ def merge_overlap(cover: DataFrame, action: str, min_area: int = 1, max_rounds:
         state = cut(state.join(bounds, "rank", "left").select(
             "rank", "area", F.coalesce("kept", verdict).alias("kept")
         ))
-    else:
-        raise RuntimeError("overlap rounds did not settle")
     return _owners(cover, state), _verdicts(cover, state, action, min_area)
 
 

@@ -92,14 +92,19 @@ def promote_rasters(px: DataFrame, label: str) -> DataFrame:
     )
 
 
-def lineage(revisions: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Depth and root of every revision by pointer doubling: log2(depth) rounds for any depth."""
+def lineage(revisions: DataFrame) -> DataFrame:
+    """Depth and root of every revision by pointer doubling: log2(depth) rounds for any depth.
+
+    Parents that form a cycle raise a ValueError.
+    """
     state = cut(revisions.select(
         "revision_id", F.col("parent_revision_id").alias("_up"), F.when(F.col("parent_revision_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth")
     ))
-    for _ in range(max_rounds):
-        if state.where("_up IS NOT NULL").limit(1).isEmpty():
-            break
+    reach, rows = 1, state.count()
+    while not state.where("_up IS NOT NULL").limit(1).isEmpty():
+        if reach > rows:  # a path longer than all revisions
+            raise ValueError("revisions are their own ancestors")
+        reach *= 2
         hop = state.select(
             F.col("revision_id").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_d"), F.col("root").alias("_root") if "root" in state.columns else F.lit(None).cast("bigint").alias("_root"),
         )

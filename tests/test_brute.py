@@ -370,3 +370,12 @@ def test_superpixels_cover_and_connect(spark, raster):
         assert components(ids == s)[1] == 1
     again = superpixels.superpixels(px.repartition(5), ["v"], images, wanted=100, rounds=2, tile=7)
     assert set(map(tuple, again.collect())) == set(map(tuple, rows))
+
+
+def test_lineage_raises_on_cycles(spark):
+    from maskloom.operators.revisions import lineage
+
+    rows = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3)], "revision_id bigint, parent_revision_id bigint")
+    assert {r["revision_id"]: r["depth"] for r in lineage(rows.where("revision_id < 3")).collect()} == {1: 0, 2: 1}
+    with pytest.raises(ValueError, match="own ancestors"):
+        lineage(rows)
