@@ -56,7 +56,7 @@ class BytePairs:
             self.pairs[vocab[left] << 16 | vocab[right]] = rank << 16 | vocab[left + right]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.piece_ids = RecentCache(self.encode_piece, 150_000)
+        self.piece_ids = RecentCache(lambda piece: tuple(self.encode_piece(piece)), 300_000)
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
@@ -71,8 +71,8 @@ class BytePairs:
         places = (1 << shift) - 1
         merge_of, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
         heap = []
-        for at in range(count - 1):
-            merge = merge_of(symbols[at] << 16 | symbols[at + 1])
+        for at, (left, right) in enumerate(zip(symbols, symbols[1:])):
+            merge = merge_of(left << 16 | right)
             if merge is not None:
                 heap.append(merge << shift | at)
         if not heap:
@@ -106,7 +106,7 @@ class BytePairs:
         letters, mark = (word, "") if word.isalpha() else (word[:-1], word[-1])
         if (not mark or mark in MARKS and letters.isalpha()) and (letters.isascii() or self.plain(letters)):
             ids = self.piece_ids[letters.lower()] if len(letters) <= 64 else self.encode_piece(letters.lower())
-            return [*ids, self.last[ord(mark)]] if mark else ids
+            return [*ids, self.last[ord(mark)]] if mark else list(ids)
         ids = []
         for part in self.split_special.split(word) if "<|" in word else (word,):
             if part in self.specials:
@@ -156,7 +156,7 @@ def printed_words(path: str) -> RecentCache:
 @functools.lru_cache(maxsize=2)
 def packed_words(path: str) -> RecentCache:
     pairs = load(path)
-    return RecentCache(lambda word: array("I", pairs.encode_word(word)).tobytes(), 300_000)
+    return RecentCache(lambda word: array("I", pairs.encode_word(word)).tobytes(), 500_000)
 
 
 def encode_packed(path: str) -> Callable[[str], bytes]:
