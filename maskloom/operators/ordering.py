@@ -63,6 +63,27 @@ def running_total(df: DataFrame, order, value: str, out: str, keys: list[str] |
     ).drop("_range", "_before", "_within")
 
 
+def previous_value(df: DataFrame, keys: list[str], order, value: str, out: str) -> DataFrame:
+    """``value`` of the row before in ``order`` within ``keys``, null for a key's first row.
+
+    ``value`` itself must not be null.  The first row of a range takes the last value of the nearest
+    earlier range of its key.
+    """
+    order = _as_columns(order)
+    ranged = _ranged(df, keys, order)
+    lasts = ranged.groupBy(*keys, "_range").agg(
+        F.max_by(value, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_last")
+    )
+    carried = lasts.select(
+        *keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carried")
+    )
+    within = Window.partitionBy("_range", *keys).orderBy(*order)
+    lagged = ranged.withColumn("_within", F.lag(value).over(within))
+    return lagged.join(carried, ["_range", *keys]).withColumn(
+        out, F.coalesce("_within", "_carried")
+    ).drop("_range", "_within", "_carried")
+
+
 def top_k(df: DataFrame, keys: list[str], order, k: int, out: str = "rank", spread: Column | None = None) -> DataFrame:
     """The first ``k`` rows of every key in ``order``, ranked from 1.
 

@@ -6,12 +6,11 @@ its own check.  Event rows: ``event_id, ts, job_id, status, message`` (plus what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from maskloom.operators.ordering import previous_value
+from maskloom.session import cut
 
 # States that end a job, progress ranges and stages read from log text.
 TERMINAL = ["completed", "failed", "canceled"]
@@ -104,33 +103,24 @@ def redelivered_once(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def accepted_jobs(events: DataFrame) -> DataFrame:
-    """One active job per key: a queued event is accepted when its key has no active job; a terminal
-    event frees the key.
+def accepted_jobs(events: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """One active job per key: ``dedupe_key, event_id, queued, accepted`` per queued or terminal event.
 
-    State per key is one job id and the rows are read as they come, so a busy key needs no more
-    memory than a quiet one.  Events of a key must arrive in log order.
+    A queued event is accepted when its key has no active job, so when the key's previous queued or
+    terminal event is terminal or there is none; a terminal event frees the key.  ``active`` names the
+    keys with a job still active from before.  ``events`` may lie in any order and one key may hold
+    most of them.  Rows with a null key or id take no part.
     """
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else None
-        for rows in batches:
-            taken = []
-            for event in rows.sort_values("event_id").itertuples(index=False):
-                if event.status == "queued" and active is None:
-                    active = event.event_id
-                    taken.append((key[0], event.event_id))
-                elif event.status in TERMINAL:
-                    active = None
-            if taken:
-                yield pd.DataFrame(taken, columns=["dedupe_key", "event_id"])
-        if active is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((active,))
-
-    return events.select("dedupe_key", "event_id", "status").groupBy("dedupe_key").applyInPandasWithState(
-        fold, "dedupe_key string, event_id bigint", "active bigint", "append", GroupStateTimeout.NoTimeout
+    queued = F.col("status") == "queued"
+    steps = events.where(queued | F.col("status").isin(TERMINAL)).where(
+        "dedupe_key IS NOT NULL AND event_id IS NOT NULL"
+    ).select("dedupe_key", "event_id", queued.alias("queued"))
+    after = previous_value(steps, ["dedupe_key"], ["event_id"], "queued", "_after")
+    if active is not None:
+        held = active.select("dedupe_key", F.lit(True).alias("_held"))
+        after = after.join(held, "dedupe_key", "left").withColumn("_after", F.coalesce("_after", "_held"))
+    return after.select(
+        "dedupe_key", "event_id", "queued", (F.col("queued") & ~F.coalesce("_after", F.lit(False))).alias("accepted")
     )
 
 
@@ -186,6 +176,31 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
+def run_accepted(stream: DataFrame, out: str, state: str, checkpoint: str) -> None:
+    """``accepted_jobs`` over everything available; accepted ``dedupe_key, event_id`` go to ``out``.
+
+    Batches must follow each other in log order.  Between them only the keys with an active job are
+    kept, in one folder per batch; a batch that is replayed replaces its own folders.
+    """
+    def job(batch: DataFrame, batch_id: int) -> None:
+        active = batch.sparkSession.read.schema("dedupe_key string").parquet(
+            f"{state}/batch_id={batch_id - 1}"
+        ) if batch_id > 0 else None
+        steps = cut(accepted_jobs(batch, active))
+        steps.where("accepted").select("dedupe_key", "event_id").write.mode("overwrite").parquet(
+            f"{out}/batch_id={batch_id}"
+        )
+        last = steps.groupBy("dedupe_key").agg(F.max_by("queued", "event_id").alias("queued"))
+        held = last.where("queued").select("dedupe_key")
+        if active is not None:
+            held = held.unionByName(active.join(last, "dedupe_key", "left_anti"))
+        held.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+        job
+    ).start().awaitTermination()
+
+
 def register_arrivals(stream: DataFrame, registry: str, checkpoint: str) -> None:
     """Register arriving image files once per name.
 

@@ -264,3 +264,25 @@ def test_flatten_nested(spark):
     docs = spark.sql("""SELECT 1 AS id, parse_json('{"b":{"x":1.5,"y":{"z":[1,2]}},"a":true}') AS p""")
     out = {(r["path"], r["value"]) for r in configs.flatten_config(docs, "id", "p").collect()}
     assert out == {("a", "true"), ("b.x", "1.5"), ("b.y.z", "[1,2]")}
+
+
+def test_accepted_jobs_with_one_hot_key_over_many_files_and_triggers(spark, tmp_path):
+    log = str(tmp_path / "log")
+    events = spark.range(60_000).selectExpr(
+        "id AS event_id", "IF(id % 100 = 99, concat('key-', id % 7), 'hot') AS dedupe_key",
+        "CASE WHEN id % 5 = 3 THEN 'running' WHEN id % 3 = 0 THEN 'failed' ELSE 'queued' END AS status",
+    )
+    for at in range(3):
+        events.where(f"event_id DIV 20000 = {at}").repartition(8).write.mode("append").parquet(log)
+    stream = sj.read_log(spark, log, "*.parquet", events.schema, 8)
+    out = str(tmp_path / "out")
+    sj.run_accepted(stream, out, str(tmp_path / "active"), str(tmp_path / "state"))
+    active, wanted = set(), set()
+    for row in sorted(events.collect(), key=lambda r: r["event_id"]):
+        if row["status"] == "queued" and row["dedupe_key"] not in active:
+            active.add(row["dedupe_key"])
+            wanted.add((row["dedupe_key"], row["event_id"]))
+        elif row["status"] == "failed":
+            active.discard(row["dedupe_key"])
+    got = spark.read.parquet(out).select("dedupe_key", "event_id").collect()
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted

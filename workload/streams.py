@@ -92,8 +92,30 @@ p AS (SELECT *, lag(step) OVER (PARTITION BY job_id ORDER BY event_id) AS prev F
 SELECT 'key-' || job_id AS dedupe_key, event_id FROM p WHERE step = 1 AND (prev IS NULL OR prev = -1)
 """, "job_events")
 def _dedupe(t):
-    keyed = _events(t).withColumn("dedupe_key", F.concat(F.lit("key-"), "job_id"))
-    return _run(t, sj.accepted_jobs(keyed), "dedupe")
+    return _accepted(t, F.concat(F.lit("key-"), "job_id"))
+
+
+@query("stream_dedupe_hot", """
+WITH e AS (SELECT event_id, CASE WHEN job_id % 2 = 0 THEN 'hot' ELSE 'key-' || job_id END AS dedupe_key,
+    CASE WHEN status = 'queued' THEN 1 WHEN status IN ('completed', 'failed') THEN -1 END AS step FROM job_events WHERE status <> 'running'),
+p AS (SELECT *, lag(step) OVER (PARTITION BY dedupe_key ORDER BY event_id) AS prev FROM e)
+SELECT dedupe_key, event_id FROM p WHERE step = 1 AND (prev IS NULL OR prev = -1)
+""", "job_events")
+def _dedupe_hot(t):
+    return _accepted(t, F.when(F.col("job_id") % 2 == 0, "hot").otherwise(F.concat(F.lit("key-"), "job_id")))
+
+
+def _accepted(t, key):
+    """The log in four triggers of three files each, rows of a trigger in no order."""
+    events, log = t.read("events"), scratch(t.spark, "dedupe-log")
+    end = events.agg(F.max("event_id") + 1).first()[0]
+    for at in range(4):
+        part = events.where(f"event_id * 4 DIV {end} = {at}")
+        part.repartition(3).write.mode("append").parquet(log)
+    stream = t.shape_job_events(sj.read_log(t.spark, log, "*.parquet", events.schema, 3)).withColumn("dedupe_key", key)
+    out = scratch(t.spark, "dedupe")
+    sj.run_accepted(stream, out, scratch(t.spark, "dedupe-active"), scratch(t.spark, "dedupe-state"))
+    return t.spark.read.parquet(out).select("dedupe_key", "event_id")
 
 
 @query("stream_edits", """
