@@ -18,6 +18,8 @@ def recompute(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New settings for the images in ``settings`` (image_id, updated, ... like ``overrides``).
 
+    ``n_segments`` and ``compactness`` of a row, where ``settings`` has them, act on that image.
+
     ``keep="freeze"`` turns what is drawn on those images into frozen pixels first; ``"drop"``
     throws it away.  Returns ``(frozen, overrides, segments)``; images without new settings keep
     their frozen pixels and get no new segments.
@@ -35,10 +37,11 @@ def recompute(
     # One job per registered algorithm, each over its own images; unknown names run as slic.
     known = sorted(ALGORITHMS)
     resolved = F.when(F.col("algorithm").isin(known), F.col("algorithm")).otherwise("slic")
-    wanted = settings.select("image_id", resolved.alias("_algorithm"))
+    acting = [c for c in ("n_segments", "compactness") if c in settings.columns]
+    wanted = settings.select("image_id", resolved.alias("_algorithm"), *acting)
     segments = None
     for name in known:
-        mine = images.join(wanted.where(F.col("_algorithm") == name), "image_id", "left_semi")
+        mine = images.drop(*acting).join(wanted.where(F.col("_algorithm") == name), "image_id").drop("_algorithm")
         part = px.join(mine.select("image_id"), "image_id", "left_semi")
         made = algorithm(name)(part, channels, mine, **options).select(
             "image_id", "row", "col", F.col("seg_id").cast("bigint").alias("seg_id")

@@ -379,3 +379,15 @@ def test_lineage_raises_on_cycles(spark):
     assert {r["revision_id"]: r["depth"] for r in lineage(rows.where("revision_id < 3")).collect()} == {1: 0, 2: 1}
     with pytest.raises(ValueError, match="own ancestors"):
         lineage(rows)
+
+
+def test_superpixel_settings_are_read_per_image(spark, raster):
+    grid = [[(r * 7 + c * 3) % 50 for c in range(40)] for r in range(40)]
+    px = raster({1: {"v": grid}, 2: {"v": grid}, 3: {"v": grid}})
+    images = spark.createDataFrame(
+        [(1, 40, 40, 100, 1e9), (2, 40, 40, 400, 1e9), (3, 40, 40, None, None)],
+        "image_id bigint, height int, width int, n_segments int, compactness double",
+    )
+    segs = superpixels.superpixels(px, ["v"], images, area=16, rounds=2)
+    counts = {r[0]: r[1] for r in segs.select("image_id", "seg_id").distinct().groupBy("image_id").count().collect()}
+    assert counts[1] == 100 and counts[2] == 400 and counts[3] <= 100
