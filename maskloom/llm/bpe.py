@@ -125,9 +125,7 @@ class BytePairs:
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in NOT_SPACE):
-            return regex.findall(r"\S+", text, flags=regex.V1) if False else [
-                w for w in regex.split(r"[\t-\r \x85\xa0  -     　]+", text) if w
-            ]
+            return [w for w in SPACE.split(text) if w]
         return text.split()
 
     def decode(self, ids) -> str:
