@@ -22,6 +22,7 @@ from maskloom.llm.common import RecentCache, id_and_text
 BUCKETS, WIDTH = 1 << 16, 8
 SHORTEST, LONGEST = 3, 6
 STRETCH = 6  # words
+WORD = 200  # characters
 EPOCHS = 8, 60  # least, and most where rows are few
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
 # The model is fitted on at most so many labelled rows of each class, taken in the order of a hash.
@@ -32,14 +33,22 @@ def plain(word: str) -> str:
     return word.lower().strip(EDGES)
 
 
+def words_of(text: str) -> list[str]:
+    """White-space separated words; one longer than ``WORD`` is taken in pieces of that length."""
+    words = text.split()
+    if max(map(len, words), default=0) <= WORD:
+        return words
+    return [word[at:at + WORD] for word in words for at in range(0, len(word), WORD)]
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of a word's n-grams, and of the word itself."""
     marked = f"<{word}>".encode()
     size = len(marked)
-    grams = {marked}
+    grams = [marked]
     for n in range(SHORTEST, LONGEST + 1):
-        grams.update(marked[i:i + n] for i in range(size - n + 1))
-    return [zlib.crc32(g) & (BUCKETS - 1) for g in sorted(grams)]
+        grams += [marked[i:i + n] for i in range(size - n + 1)]
+    return [code & (BUCKETS - 1) for code in map(zlib.crc32, dict.fromkeys(grams))]
 
 
 def stretch_means(values: np.ndarray) -> np.ndarray:
@@ -54,13 +63,14 @@ def stretch_means(values: np.ndarray) -> np.ndarray:
 class Model:
     """One number per bucket (vector times softmax weights), a bias, and a scale of the score."""
 
-    buckets: np.ndarray
+    buckets: list[float]
     bias: float
     centre: float
     slope: float
 
     def word(self, word: str) -> float:
-        return float(self.buckets[subwords(plain(word)[:200])].mean())
+        ids = subwords(plain(word))
+        return sum(map(self.buckets.__getitem__, ids)) / len(ids)
 
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (margin + self.bias - self.centre), -50, 50))))
@@ -72,8 +82,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     number, grams, words = {}, [], []
     for text in texts:
         row = []
-        for raw in text.split():
-            word = plain(raw)[:200]
+        for raw in words_of(text):
+            word = plain(raw)
             if word not in number:
                 number[word] = len(number)
                 grams.append(subwords(word))
@@ -150,7 +160,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     worst = np.array([stretch_means(margins[row]).max() if len(row) else 0.0 for row in words]) + float(bias[1] - bias[0])
     fresh = kept_back if kept_back.any() else ~kept_back
     centre, slope = _scale(worst[fresh], labels[fresh])
-    return Model(bucket, float(bias[1] - bias[0]), centre, slope)
+    return Model(bucket.tolist(), float(bias[1] - bias[0]), centre, slope)
 
 
 def _one_sided(words: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
@@ -215,7 +225,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores = []
             for text in batch.column("text"):
-                words = text.as_py().split()
+                words = words_of(text.as_py())
                 margins = np.fromiter(map(look, words), np.float64, len(words))
                 scores.append(own.score(float(stretch_means(margins).max())))
             yield pa.RecordBatch.from_arrays(
