@@ -319,9 +319,16 @@ def fit(pages: list[str]) -> BoostedTrees | None:
 
 
 def train(pages: DataFrame, sample: int = 250) -> BoostedTrees | None:
-    """Trees learnt from at most ``sample`` pages, the first by a hash; none if no page has an article."""
-    picked = pages.where("html IS NOT NULL").select("html", F.xxhash64("url", "html").alias("h")).orderBy("h").limit(sample)
-    return fit([r["html"] for r in picked.select("html").collect()])
+    """Trees learnt from at most ``sample`` pages, the first by a hash; none if no page has an article.
+
+    The hashes alone are ranked, then the pages up to the last one chosen are read, so a task hands
+    over no more html than the sample holds.
+    """
+    hashed = pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "url").alias("h"))
+    chosen = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if chosen is None:
+        return None
+    return fit([r["html"] for r in hashed.where(F.col("h") <= chosen).orderBy("h", "html").limit(sample).collect()])
 
 
 def plain_odds(page: Page) -> np.ndarray:
