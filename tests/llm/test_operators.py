@@ -153,6 +153,27 @@ def test_jaccard_join(spark, odd, size, percent, monkeypatch):
     assert nearjoin.near_components(docs.limit(0), size, percent).count() == 0
 
 
+def test_jaccard_join_of_two_groups_by_one_link(spark):
+    """Copies of two originals that are no partners: one link joins the groups, and cells hold both."""
+    rng = np.random.default_rng(17)
+    rows, want, doc = [], Counter(), 0
+    for seed in range(60):
+        # Single words are the shingles: 40 common ones and extras, so that the sizes decide the distances.
+        word = lambda i: f"s{seed}w{i}"  # noqa: B023, E731
+        common = [word(i) for i in range(40)]
+        left, right = common + [word(50), word(51)], common + [word(60), word(61)]  # 40 of 44
+        group = [left, right]
+        group += [left + [word(100 + i)] for i in range(3)] + [right + [word(200 + i)] for i in range(3)]
+        ids = list(range(doc, doc + len(group)))
+        doc += len(group)
+        for own, text in zip(rng.permutation(ids), group):
+            rows.append((int(own), " ".join(rng.permutation(text))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for first in range(0, doc, 8):
+        want += brute_components([r for r in rows if first <= r[0] < first + 8], 1, 90)
+    assert Counter(map(tuple, nearjoin.near_components(docs, 1, 90).collect())) == want
+
+
 def test_repeats(spark, odd, monkeypatch):
     rng = np.random.default_rng(9)
     passage = "".join(rng.choice(list("abcdef ghij"), 260))
