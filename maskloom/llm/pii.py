@@ -32,7 +32,7 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 USER_URL = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+(?::[^\s@/]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
-IBAN = re.compile(r"[\s:=#]*([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+IBAN = re.compile(r"[\s:=#]*([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})")
 SSN = re.compile(r"[\s:=#]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 ASSIGNED = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_/+-]{16,})")
@@ -40,25 +40,39 @@ ASSIGNED = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_/+-]{16,})")
 CUES = {"iban": "iban", "ssn": "ssn", "token": "secret", "secret": "secret", "password": "secret", "api_key": "secret",
         "apikey": "secret"}
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
+# Countries with the length of their accounts.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 "
+    "EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+    "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 "
+    "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @functools.lru_cache(maxsize=1)
 def anchors() -> ahocorasick.Automaton:
+    """Anchors of a text with A-Z lower-cased."""
     automaton = ahocorasick.Automaton()
     automaton.add_word("@", ("at", 1))
     automaton.add_word("+", ("plus", 1))
-    automaton.add_word("AKIA", ("key", 4))
+    automaton.add_word("akia", ("key", 4))
     for digit in "0123456789":
         automaton.add_word(digit, ("digit", 1))
     for scheme in SCHEMES:
         automaton.add_word(scheme, ("scheme", len(scheme)))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            automaton.add_word(form, (kind, len(form)))
+        automaton.add_word(cue, (kind, len(cue)))
     automaton.make_automaton()
     return automaton
 
 
+def ascii_lower(text: str) -> str:
+    """A-Z lower-cased and nothing else, so that places stay."""
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for place, char in enumerate(reversed(digits)):
@@ -76,6 +90,21 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """The end of the account at the start of ``text[start:end]`` that passes its check, or -1.
+
+    A country's accounts have one length; those of countries not listed end at the last place that passes.
+    """
+    length = IBAN_LENGTHS.get(text[start:start + 2])
+    for stop in range(end, start + 14, -1):
+        inside = stop < len(text) and text[stop].isascii() and text[stop].isalnum()
+        if inside or text[stop - 1] == " ":
+            continue
+        if (not length or stop - start - text.count(" ", start, stop) == length) and iban_ok(text[start:stop]):
+            return stop
+    return -1
+
+
 def small_number(digits: str) -> bool:
     """At most 255, however long the digits."""
     plain = digits.lstrip("0")
@@ -87,7 +116,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     found = []
     email_end = chain_end = card_end = phone_end = 0
     last = dict.fromkeys(MORE_KINDS, 0)
-    for at_end, (what, length) in anchors().iter(text):
+    for at_end, (what, length) in anchors().iter(ascii_lower(text)):
         at = at_end + 1 - length
         if what == "digit":
             if at >= chain_end:
@@ -128,16 +157,18 @@ def find(text: str) -> list[tuple[str, int, int]]:
         else:
             pattern = {"iban": IBAN, "ssn": SSN, "secret": ASSIGNED}[what]
             inner = (at == 0 or not text[at - 1].isalnum()) and pattern.match(text, at_end + 1)
-            if inner and inner.start(1) >= last[what] and _fits(what, inner.group(1)):
-                last[what] = inner.end(1)
-                found.append((what, *inner.span(1)))
+            if inner and inner.start(1) >= last[what]:
+                start, end = inner.span(1)
+                if what == "iban":
+                    end = iban_end(text, start, end)
+                if end > 0 and (what != "secret" or _mixed(inner.group(1))):
+                    last[what] = end
+                    found.append((what, start, end))
     return sorted(found, key=lambda span: (span[1], KINDS.index(span[0])))
 
 
-def _fits(kind: str, value: str) -> bool:
-    if kind == "iban":
-        return iban_ok(value)
-    return kind == "ssn" or any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+def _mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:

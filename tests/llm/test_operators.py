@@ -95,6 +95,23 @@ def test_pii_further_kinds():
     assert kinds("ssn 123-45-6789") == ["ssn"] and kinds('token = "0123456789abcdef0123"') == ["secret"]
 
 
+def test_pii_account_boundaries_and_cases():
+    cut_out = lambda t: [(k, t[s:e]) for k, s, e in pii.find(t) if k in pii.MORE_KINDS]
+    plain, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for account in (plain, spaced):
+        for after in (" BIC COBADEFFXXX", " BIC: X", " 2024-01-01", " 12 345 67", ".", "-A", "\n", "", " A" * 20):
+            assert cut_out(f"IBAN: {account}{after}") == [("iban", account)]
+    assert cut_out(f"IBAN {plain}A") == cut_out(f"IBAN {plain}9 X") == cut_out(f"IBAN {plain}a") == []
+    assert cut_out(f"iBaN {plain} IBAN {spaced} BIC") == [("iban", plain), ("iban", spaced)]
+    unlisted = next(f"XX{n:02} 2222 3333 4444 5555" for n in range(2, 99) if pii.iban_ok(f"XX{n:02}2222333344445555"))
+    assert cut_out(f"IBAN {unlisted}") == cut_out(f"IBAN {unlisted}: BIC") == [("iban", unlisted)]
+    secret = "0123456789abcdef0123"
+    for cue in ("Api_Key", "API_Key", "ApiKey", "tOKEN", "PassWord"):
+        assert cut_out(f"é İ {cue}: {secret}") == [("secret", secret)]
+    assert cut_out("at HTTPS://bob:pw@example.org/x now") == [("url", "HTTPS://bob:pw@example.org/x")]
+    assert cut_out("akia" + "A" * 16) == [] and cut_out("AKIA" + "A" * 16) == [("key", "AKIA" + "A" * 16)]
+
+
 def test_line_dedup(spark, odd):
     rows = pairs_of(odd)
     key = lambda line: re.sub(r"[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
