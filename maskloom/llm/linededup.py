@@ -25,16 +25,17 @@ def key_hash(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")]
 
 
-def shared_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
+def shared_lines(docs: DataFrame, id_column: str, min_docs: int, min_chars: int) -> DataFrame:
     """Hashes ``h1, h2`` of the keys found in at least ``min_docs`` documents.
 
-    A key counts once a row of ``docs``; counts are combined before the exchange, so a line that
-    every document holds is one small row per task.
+    A key counts once an id, however many rows carry it, and null ids do not count.  Pairs of id and
+    key are made distinct first, so a line that every document holds is spread by the ids; their
+    counts are combined before the second exchange, where it is one small row per task.
     """
-    keys = docs.select(F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key"))
+    keys = docs.select(F.col(id_column).alias("_id"), F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key"))
     return (
-        keys.where(F.length("key") >= min_chars)
-        .select(*key_hash(F.col("key")))
+        keys.where((F.length("key") >= min_chars) & F.col("_id").isNotNull())
+        .select("_id", *key_hash(F.col("key"))).distinct()
         .groupBy("h1", "h2").agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_docs).select("h1", "h2")
     )
@@ -50,7 +51,7 @@ def dedup_lines(docs: DataFrame, id_column: str, min_docs: int = 10, min_chars:
     empty.
     """
     docs = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    shared = shared_lines(docs, min_docs, min_chars)
+    shared = shared_lines(docs, id_column, min_docs, min_chars)
     lines = docs.select(
         F.col(id_column).alias("_id"), F.hash("text").alias("_sum"),
         F.posexplode(line_keys(F.col("text"))).alias("_at", "_key"),

@@ -124,6 +124,16 @@ def test_line_dedup(spark, odd):
     assert Counter(map(tuple, linededup.line_dedup_digest(odd, min_docs=2).collect())) == want
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = [(1, "one line\nanother line")] * 10 + [(i, f"shared\nown {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dropped = {(r["doc_id"], r["n_dropped"]) for r in linededup.line_dedup_digest(docs).collect()}
+    assert dropped == {(1, 0)} | {(i, 1) for i in range(2, 12)}
+    rows += [(None, "a b c d e f")] * 3 + [(None, None)] * 2
+    kept = nearjoin.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter(set(rows))
+
+
 def test_quality_edges(spark, odd):
     got = quality.quality_verdicts(odd).collect()
     assert len(got) == odd.count() and not any(r["kept"] and r["base_failed"] for r in got)
