@@ -391,3 +391,8 @@ def test_superpixel_settings_are_read_per_image(spark, raster):
     segs = superpixels.superpixels(px, ["v"], images, area=16, rounds=2)
     counts = {r[0]: r[1] for r in segs.select("image_id", "seg_id").distinct().groupBy("image_id").count().collect()}
     assert counts[1] == 100 and counts[2] == 400 and counts[3] <= 100
+
+
+def test_loose_pieces_behind_loose_pieces_join(raster, grid_of):
+    px = raster({1: {"seg_id": [[1, 1, 1, 2, 2, 2, 3, 3, 3, 1, 2, 1]]}})
+    assert grid_of(superpixels.connect_segments(px), "seg_id") == [[1, 1, 1, 2, 2, 2, 3, 3, 3, 3, 3, 3]]
