@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import bpe, linededup, mainext, nearjoin, packing, pii, quality, repeats, topk, toxicity
+from maskloom.llm import aligned, bpe, bytebpe, lexical, linededup, mainext, nearjoin, packing, pii, quality, repeats, topk, toxicity
 from maskloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +59,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned.align_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECES)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_pii, op3_toxicity, op4_top_k, op5_repeats, op6_quality, op7_jaccard, op8_main_text, op9_line_dedup,
-        op10_packing,
+        op10_packing, op11_alignment, op12_byte_bpe, op13_lexical,
     )
 }
 
-SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op6_quality": quality.SQL, "op9_line_dedup": linededup.SQL}
+SQL: dict[str, str] = {
+    "op4_top_k": topk.SQL, "op6_quality": quality.SQL, "op9_line_dedup": linededup.SQL, "op13_lexical": lexical.SQL,
+}
