@@ -1,53 +1,156 @@
 """4-connected components at any image size.
 
-Images are cut into square tiles.  Inside a tile (a bounded group) pieces are labelled with numpy;
-pieces that meet across tile borders form a small graph, contracted by alternating star rounds.
+Images are cut into strips of raster lines.  Inside a strip runs of equal value that touch on neighbouring lines are
+joined by union-find with numpy; pieces that meet across strips form a small graph, contracted by alternating
+star rounds.  Labels are carried by runs, so nothing but the seams is listed pixel by pixel.
 A component is named by its first pixel: ``row << 32 | col``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.session import cut
 
-TILE = 64
-
-
-def _label_tile(size: int, values: str):
-    """Pieces of one tile: hook larger labels onto smaller ones, then shorten paths, until still."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        r, c = rows % size, cols % size
-        codes = np.unique(pdf[values].to_numpy(), return_inverse=True)[1]
-        grid = np.full((size, size), -1, dtype=np.int64)
-        grid[r, c] = codes
-        cell = np.arange(size * size).reshape(size, size)
-        flat = grid >= 0
-        across = flat[:, :-1] & (grid[:, :-1] == grid[:, 1:])
-        down = flat[:-1] & (grid[:-1] == grid[1:])
-        a = np.concatenate([cell[:, :-1][across], cell[:-1][down]])
-        b = np.concatenate([cell[:, 1:][across], cell[1:][down]])
-        label = np.arange(size * size)
-        while True:
-            la, lb = label[a], label[b]
-            open_edges = la != lb
-            if not open_edges.any():
-                break
-            np.minimum.at(label, np.maximum(la, lb)[open_edges], np.minimum(la, lb)[open_edges])
-            while not np.array_equal(label, label[label]):
-                label = label[label]
-        mine = label[r * size + c]
-        top, left = rows[0] - r[0], cols[0] - c[0]
-        first = ((top + mine // size).astype(np.int64) << 32) | (left + mine % size)
-        count = np.bincount(mine, minlength=size * size)[mine]
-        return pdf.assign(comp=first, size=count.astype(np.int64)).drop(columns=["_tr", "_tc"])
-
-    return run
+# Raster lines of a strip.
+TILE = 16
+
+
+def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index joined with each of ``count``: hook larger roots onto smaller ones, then shorten paths, until still."""
+    label = np.arange(count)
+    while True:
+        la, lb = label[a], label[b]
+        open_edges = la != lb
+        if not open_edges.any():
+            return label
+        np.minimum.at(label, np.maximum(la, lb)[open_edges], np.minimum(la, lb)[open_edges])
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def _label_strips(table: pa.Table, keys: list[str], value: str, schema: pa.Schema) -> pa.RecordBatch:
+    """Runs with their piece, and pairs of pieces that touch, of whole strips in (keys, strip, row, col) order."""
+    group = np.zeros(table.num_rows, bool)
+    group[0] = True
+    for name in [*keys, "_strip"]:
+        column = table.column(name).combine_chunks()
+        codes = pc.fill_null(column.dictionary_encode().indices, -1).to_numpy()
+        group[1:] |= codes[1:] != codes[:-1]
+    rows, cols = (table.column(n).to_numpy().astype(np.int64) for n in ("row", "col"))
+    codes = pc.fill_null(table.column(value).combine_chunks().dictionary_encode().indices, -1).to_numpy()
+    new_line = group.copy()
+    new_line[1:] |= rows[1:] != rows[:-1]
+    opened = new_line.copy()
+    opened[1:] |= (cols[1:] != cols[:-1] + 1) | (codes[1:] != codes[:-1])
+    first = np.flatnonzero(opened)
+    lengths = np.diff(np.append(first, len(rows)))
+    line = np.cumsum(new_line)[first]
+    row, start, code = rows[first], cols[first], codes[first]
+    # Lines that go on from the line before: the next row of the same strip.
+    heads = np.flatnonzero(new_line)
+    follows = np.concatenate([[False], (rows[heads[1:]] == rows[heads[:-1]] + 1) & ~group[heads[1:]], [False]])
+    span = int(cols.max()) + 2
+    begin, end = line * span + start, line * span + start + lengths
+    # Runs of the next line that overlap a run are neighbours in order.
+    low = np.searchsorted(end, begin + span, side="right")
+    high = np.searchsorted(begin, end + span, side="left")
+    counts = np.where(follows[line], np.maximum(high - low, 0), 0)
+    above = np.repeat(np.arange(len(first)), counts)
+    below = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    same = code[above] == code[below]
+    root = _roots(len(first), above[same], below[same])
+    piece = (row[root] << 32) | start[root]
+    size = np.bincount(root, lengths, len(first)).astype(np.int64)[root]
+    beside = np.flatnonzero((line[1:] == line[:-1]) & (end[:-1] == begin[1:]))
+    one, other = root[np.concatenate([above[~same], beside])], root[np.concatenate([below[~same], beside + 1])]
+    pairs = np.unique(np.minimum(one, other) * len(first) + np.maximum(one, other))
+    one, other = pairs // len(first), pairs % len(first)
+    at = pa.array(np.concatenate([first, first[one]]))
+    none = np.zeros(len(one), np.int64)
+    columns = {n: table.column(n).take(at) for n in [*keys, value]}
+    columns |= {
+        "row": np.concatenate([row, none - 1]), "col_start": np.concatenate([start, none]), "col_len": np.concatenate([lengths, none]),
+        "comp": np.concatenate([piece, piece[one]]), "size": np.concatenate([size, none]),
+        "other": np.concatenate([np.full(len(first), -1), piece[other]]),
+    }
+    out = pa.table({n: columns[n] for n in schema.names}).cast(schema).combine_chunks()
+    return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema)
+
+
+def _strip_pieces(px: DataFrame, value: str, keys: list[str], tile: int) -> DataFrame:
+    """Pieces inside strips: run rows, and rows of touching pieces (``comp, other``) with row -1."""
+    kinds = dict(px.dtypes)
+    fields = [*[(k, kinds[k]) for k in keys], ("row", "int"), ("col_start", "int"), ("col_len", "int"), (value, kinds[value]),
+              ("comp", "bigint"), ("size", "bigint"), ("other", "bigint")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if schema is None:
+                own = {n: table.schema.field(n).type for n in [*keys, value]}
+                numbers = {"row": pa.int32(), "col_start": pa.int32(), "col_len": pa.int32(), "comp": pa.int64(), "size": pa.int64(), "other": pa.int64()}
+                schema = pa.schema([(n, (own | numbers)[n]) for n, _ in fields])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            # The last strip may go on in the next batch.
+            last = np.ones(table.num_rows, bool)
+            for name in [*keys, "_strip"]:
+                codes = pc.fill_null(table.column(name).combine_chunks().dictionary_encode().indices, -1).to_numpy()
+                last &= codes == codes[-1]
+            whole = table.num_rows - int(last.sum())
+            if whole:
+                yield _label_strips(table.slice(0, whole), keys, value, schema)
+            held = table.slice(whole)
+        if held is not None:
+            yield _label_strips(held, keys, value, schema)
+
+    tagged = px.select(*keys, F.expr(f"row DIV {tile}").alias("_strip"), "row", "col", value)
+    order = [*keys, "_strip"]
+    dealt = tagged.repartition(*order).sortWithinPartitions(*order, "row", "col")
+    return dealt.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
+
+
+def component_graph(
+    px: DataFrame, value: str, keys: list[str] = ["image_id"], tile: int = TILE
+) -> tuple[DataFrame, DataFrame]:
+    """``(runs, sides)``: components of equal ``value`` by run, and pairs of components that touch.
+
+    ``runs``: keys, row, col_start, col_len, value, comp, size, where size is the pixels of the component.
+    ``sides``: keys, a, b with a < b, each pair once.  Absent pixels connect nothing and touch nothing.
+    """
+    local = cut(_strip_pieces(px, value, keys, tile))
+    runs, touching = local.where("row >= 0").drop("other"), local.where("row < 0").select(*keys, F.col("comp").alias("a"), F.col("other").alias("b"))
+    # Pixels on both sides of the seams: two lines of each strip.
+    listed = F.explode(F.sequence("col_start", F.col("col_start") + F.col("col_len") - 1)).alias("col")
+    lower = runs.where(f"row % {tile} = 0 AND row > 0").select(*keys, "row", listed, F.col(value).alias("_v"), F.col("comp").alias("_c"))
+    upper = runs.where(f"row % {tile} = {tile - 1}").select(*keys, (F.col("row") + 1).alias("row"), listed, F.col(value).alias("_nv"), F.col("comp").alias("_nc"))
+    met = cut(lower.join(upper, [*keys, "row", "col"]).select(
+        *keys, F.least("_c", "_nc").alias("a"), F.greatest("_c", "_nc").alias("b"), F.col("_v").eqNullSafe(F.col("_nv")).alias("_same")
+    ).distinct())
+    edges = met.where("_same").select(*keys, "a", "b")
+    sides = touching.unionByName(met.where("NOT _same").select(*keys, "a", "b"))
+    if edges.isEmpty():
+        return runs, sides.distinct()
+    roots = cut(resolve_components(edges, keys))
+    members = roots.unionByName(roots.select(*keys, F.col("root").alias("node"), "root")).distinct()
+    pieces = runs.groupBy(*keys, F.col("comp").alias("node")).agg(F.first("size").alias("_n"))
+    sized = members.join(pieces, [*keys, "node"])
+    totals = sized.groupBy(*keys, "root").agg(F.sum("_n").alias("_total"))
+    joined = sized.drop("_n").join(totals, [*keys, "root"]).withColumnRenamed("node", "comp")
+    named = runs.join(joined, [*keys, "comp"], "left").select(
+        *keys, "row", "col_start", "col_len", value, F.coalesce("root", "comp").alias("comp"), F.coalesce("_total", "size").alias("size")
+    )
+    for end in ("a", "b"):
+        at = roots.select(*keys, F.col("node").alias(end), F.col("root").alias("_root"))
+        sides = sides.join(at, [*keys, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    return named, sides.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def resolve_components(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,6 +192,12 @@ def _fingerprint(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def run_pixels(runs: DataFrame) -> DataFrame:
+    """One row per pixel of runs; nothing is shuffled."""
+    keep = [c for c in runs.columns if c not in ("col_start", "col_len")]
+    return runs.select(*keep, F.explode(F.sequence("col_start", F.col("col_start") + F.col("col_len") - 1)).alias("col"))
+
+
 def connected_components(
     px: DataFrame, value: str, keys: list[str] = ["image_id"], tile: int = TILE
 ) -> DataFrame:
@@ -97,27 +206,8 @@ def connected_components(
     ``px`` holds ``keys, row, col, value`` (plus anything carried along); absent pixels connect
     nothing.  Images of every size take the same path.
     """
-    tiled = px.withColumns({"_tr": F.expr(f"row DIV {tile}"), "_tc": F.expr(f"col DIV {tile}")})
-    fields = ", ".join(f"`{n}` {t}" for n, t in px.dtypes)
-    local = tiled.groupBy(*keys, "_tr", "_tc").applyInPandas(
-        _label_tile(tile, value), f"{fields}, comp bigint, size bigint"
-    )
-    local = cut(local)
-    on_seam = local.where(f"row % {tile} IN (0, {tile - 1}) OR col % {tile} IN (0, {tile - 1})")
-    side = on_seam.select(*keys, "row", "col", F.col(value).alias("_v"), F.col("comp").alias("_c"))
-    here = side.where(f"(row % {tile} = 0 AND row > 0) OR (col % {tile} = 0 AND col > 0)")
-    above = here.where(f"row % {tile} = 0 AND row > 0").withColumn("row", F.col("row") - 1)
-    beside = here.where(f"col % {tile} = 0 AND col > 0").withColumn("col", F.col("col") - 1)
-    near = above.unionByName(beside).withColumnsRenamed({"_v": "_nv", "_c": "_nc"})
-    seams = near.join(side, [*keys, "row", "col"]).where("_v = _nv").select(
-        *keys, F.col("_c").alias("a"), F.col("_nc").alias("b")
-    ).distinct()
-    roots = resolve_components(seams, keys)
-    members = roots.unionByName(roots.select(*keys, F.col("root").alias("node"), "root")).distinct()
-    pieces = local.groupBy(*keys, F.col("comp").alias("node")).agg(F.first("size").alias("_n"))
-    sized = members.join(pieces, [*keys, "node"])
-    totals = sized.groupBy(*keys, "root").agg(F.sum("_n").alias("_total"))
-    joined = sized.drop("_n").join(totals, [*keys, "root"]).withColumnRenamed("node", "comp")
-    return local.join(joined, [*keys, "comp"], "left").select(
-        *px.columns, F.coalesce("root", "comp").alias("comp"), F.coalesce("_total", "size").alias("size")
-    )
+    named = run_pixels(component_graph(px, value, keys, tile)[0])
+    carried = [c for c in px.columns if c not in (*keys, "row", "col", value)]
+    if carried:
+        named = px.join(named.drop(value), [*keys, "row", "col"])
+    return named.select(*px.columns, "comp", "size")

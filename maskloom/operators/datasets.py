@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.operators.line_runs import merge_overlap_runs
+from maskloom.operators.masks import line_runs, runs_to_pixels
 from maskloom.operators.ordering import ordered_index, running_total
-from maskloom.session import cut
 
 
 def first_occurrence(rows: DataFrame, key: Column, order: list[str], out: str, carry: list[str]) -> DataFrame:
@@ -58,76 +59,15 @@ def merge_priority(candidates: DataFrame, priority: str, order: list[str]) -> Da
 
 
 def merge_overlap(cover: DataFrame, action: str, min_area: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Keep, trim or skip overlapping masks in rank order, all images at once.
+    """:func:`maskloom.operators.line_runs.merge_overlap_runs` for masks given as pixels, ``image_id, rank, row, col``.
 
-    ``cover``: image_id, rank, row, col.  Returns ``(owned, verdicts)``: pixels each kept mask owns,
-    and per rank its area, overlap, free pixels and verdict.
-
-    Taking masks one by one is a chain only where they overlap, so it runs in rounds: per pixel the
-    first kept and the first undecided rank are known, which bounds the free area of every mask from
-    below and above.  A mask is decided as soon as the bounds settle it; the first undecided rank
-    always is.  Rounds follow conflict depth, not the number of masks, and no pairs are formed.
+    The pixels that kept masks own come back as pixels.
     """
-    if action not in ("trim", "skip", "allow"):
-        raise ValueError(f"unknown overlap action: {action}")
-    pixel = ["image_id", "row", "col"]
-    cover = cut(cover.select("rank", *pixel).distinct())
-    areas = cover.groupBy("rank").agg(F.count("*").alias("area"))
-    if action == "allow" or (action == "trim" and min_area <= 1):
-        # Every mask takes what is free, so the first rank over a pixel owns it: no rounds needed.
-        state = cut(areas.withColumn("kept", F.col("area") >= min_area))
-        if action == "allow":
-            owned = cover.join(state.where("kept").select("rank"), "rank", "left_semi")
-            return owned, _verdicts(cover, state, action, min_area)
-        return _owners(cover, state), _verdicts(cover, state, action, min_area)
-    state = cut(areas.withColumn("kept", F.when(F.col("area") < min_area, F.lit(False))))
-    # The first undecided mask of all is decided in every round, so the rounds end.
-    while not state.where("kept IS NULL").limit(1).isEmpty():
-        live = cover.join(state.where("kept IS NULL OR kept"), "rank")
-        tops = live.groupBy(*pixel).agg(
-            F.min(F.when(F.col("kept"), F.col("rank"))).alias("_k"),
-            F.min(F.when(F.col("kept").isNull(), F.col("rank"))).alias("_u"),
-        )
-        waiting = live.where("kept IS NULL").join(tops, pixel)
-        taken = F.coalesce(F.col("_k") < F.col("rank"), F.lit(False))
-        doubtful = ~taken & (F.col("_u") < F.col("rank"))
-        bounds = waiting.groupBy("rank").agg(
-            F.count_if(~taken).alias("_most"), F.count_if(~taken & ~doubtful).alias("_least")
-        )
-        need = F.col("area") if action == "skip" else F.lit(min_area)
-        verdict = F.when(F.col("_least") >= need, True).when(F.col("_most") < need, False)
-        state = cut(state.join(bounds, "rank", "left").select(
-            "rank", "area", F.coalesce("kept", verdict).alias("kept")
-        ))
-    return _owners(cover, state), _verdicts(cover, state, action, min_area)
-
-
-def _owners(cover: DataFrame, state: DataFrame) -> DataFrame:
-    kept = cover.join(state.where("kept").select("rank"), "rank", "left_semi")
-    return kept.groupBy("image_id", "row", "col").agg(F.min("rank").alias("rank"))
-
-
-def _verdicts(cover: DataFrame, state: DataFrame, action: str, min_area: int) -> DataFrame:
-    """Area, pixels already taken by earlier kept masks, and the outcome of every mask."""
-    tops = cover.join(state.where("kept").select("rank"), "rank", "left_semi").groupBy("image_id", "row", "col").agg(
-        F.min("rank").alias("_k")
-    )
-    over = cover.join(tops, ["image_id", "row", "col"], "left").groupBy("rank").agg(
-        F.count_if(F.col("_k") < F.col("rank")).alias("overlap")
-    )
-    free = F.col("area") - F.col("overlap")
-    small = F.lit("dropped_small")
-    if action == "skip":
-        verdict = F.when(F.col("overlap") > 0, "dropped_overlap").when(F.col("area") < min_area, small)
-    elif action == "trim":
-        verdict = F.when(free == 0, "dropped_overlap").when(free < min_area, small)
-    else:
-        verdict = F.when(F.col("area") < min_area, small)
-    return state.join(over, "rank").select(
-        "rank", "area", "overlap", free.alias("free"), verdict.otherwise("kept").alias("verdict")
-    ) if action != "allow" else state.join(over, "rank").select(
-        "rank", "area", "overlap", F.col("area").alias("free"), verdict.otherwise("kept").alias("verdict")
+    runs = line_runs(cover.select("image_id", "rank", "row", "col").distinct(), ["image_id", "rank"]).select(
+        "image_id", "rank", "row", F.col("start").alias("col_start"), F.col("len").alias("col_len")
     )
+    owned, verdicts = merge_overlap_runs(runs, action, min_area)
+    return runs_to_pixels(owned), verdicts
 
 
 def merge_stats(verdicts: DataFrame) -> DataFrame:

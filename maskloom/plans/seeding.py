@@ -12,10 +12,12 @@ from maskloom.operators.masks import class_runs
 def seed_masks(painted: DataFrame, images: DataFrame, frozen: bool = False) -> DataFrame:
     """Run table keyed by mask name; with ``frozen`` every mask also gets its frozen copy.
 
+    ``painted`` is a label map, as runs (with ``col_start, col_len``) or as pixels.
     The class id in the name is the class *position* in the category list.  Images that are not in
     the registry drop out (see :func:`missing_images`).
     """
-    runs = class_runs(painted, "class_id").join(
+    runs = painted.where("class_id > 0") if "col_start" in painted.columns else class_runs(painted, "class_id")
+    runs = runs.join(
         images.select("image_id", stem(F.col("file_name")).alias("_stem")), "image_id"
     )
     suffixes = [".png", "__frozen.png"] if frozen else [".png"]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskloom.operators import line_runs as lr
 from maskloom.operators import masks as mk
+from maskloom.plans.painting import paint_annotations
 from workload.registry import query
+from workload.scratch import scratch
 from workload.tables import SIDE
 
 
@@ -81,6 +84,7 @@ SELECT image_id, "row", col, arg_max(category_id, {key}) AS class_id FROM
 
 
 def painted(t, policy):
+    """The label map as runs; queries that need pixels list them at the end, where nothing is shuffled any more."""
     from maskloom.operators.statistics import polygon_area
 
     sized = t.polygons.withColumn(
@@ -88,17 +92,71 @@ def painted(t, policy):
     ).withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
     ranked = mk.paint_order(sized, policy, ["order_idx", "ann_id"])
     runs = mk.polygon_runs(ranked, ["image_id", "category_id", "paint_rank"])
-    return mk.overlap_resolve(mk.runs_to_pixels(runs), "category_id").withColumnRenamed("category_id", "class_id")
+    return lr.painted_runs(runs, "category_id", "paint_rank").withColumnRenamed("category_id", "class_id")
 
 
 @query("overlap_resolve", PAINT.format(key="(a, order_idx, ann_id)"), "ann_px")
 def _overlap_area(t):
-    return painted(t, "higher_area_wins")
+    return mk.runs_to_pixels(painted(t, "higher_area_wins"))
 
 
 @query("overlap_resolve_last", PAINT.format(key="(order_idx, ann_id)"), "ann_px")
 def _overlap_last(t):
-    return painted(t, "last_annotation_wins")
+    return mk.runs_to_pixels(painted(t, "last_annotation_wins"))
+
+
+def mixed_annotations(t):
+    """Annotation rows in three forms by order: outlines, run counts, compressed counts; some counts are cut short."""
+    from maskloom.sources import coco
+
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    outline = F.expr("cast(array(x0, y0, x0 + w, y0, x0 + w, y0 + h, x0, y0 + h) AS array<double>)")
+    rows = t.counts.withColumn("polygon", outline)
+    counts = F.when(F.col("order_idx") % 13 == 0, F.slice("counts", 1, F.size("counts") - 1)).otherwise(F.col("counts"))
+    listed = text("[", F.array_join(counts.cast("array<string>"), ","), "]")
+    packed = text('"', F.replace(mk.compress_counts(counts), F.lit("\\"), F.lit("\\\\")), '"')
+    form = F.col("order_idx") % 3
+    segmentation = F.when(form == 0, F.to_json(F.array("polygon"))).otherwise(
+        text('{"size":[', str(SIDE), ",", str(SIDE), '],"counts":', F.when(form == 1, listed).otherwise(packed), "}")
+    )
+    fields = F.to_json(F.struct(F.col("ann_id").alias("id"), "image_id", "category_id", "area", F.col("order_idx")))
+    spliced = text(F.substring(fields, 1, F.length(fields) - 1), ',"segmentation":', segmentation, "}")
+    # One document an image and block of orders, its annotations in order.
+    block = F.expr("concat(image_id, '/', order_idx DIV 8000)").alias("shard")
+    sizes = text('{"images":[{"id":', F.first("image_id").cast("string"), f',"width":{SIDE},"height":{SIDE}}}],"annotations":[')
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_idx", "ann_id", "_json"))), lambda s: s["_json"]), ",")
+    categories = ",".join(f'{{"id":{c},"name":"c{c}"}}' for c in (1, 2, 3))
+    docs = rows.withColumn("_json", spliced).groupBy(block).agg(text(sizes, body, f'],"categories":[{categories}]}}').alias("doc"))
+    path = scratch(t.spark, "forms")
+    docs.select("doc").write.text(path)
+    parsed = coco.parse_documents(coco.read_documents(t.spark, path, lines=True))
+    images = coco.coco_images(parsed).select("source_id", "image_id", "height", "width")
+    # An annotation of a block is placed after those of the blocks before by its own name.
+    known = coco.annotation_classes(coco.coco_annotations(parsed), coco.coco_categories(parsed))
+    first = F.regexp_extract("ann_id", r"^([0-9]+)-([0-9]+)", 1).cast("long") * 8 + F.regexp_extract("ann_id", r"^([0-9]+)-([0-9]+)", 2).cast("long")
+    return known.withColumn("order_idx", first).join(images, ["source_id", "image_id"])
+
+
+FORMS = "(SELECT * FROM ann_px WHERE order_idx % 3 = 0 OR order_idx % 13 <> 0)"
+
+
+@query("overlap_resolve_forms", PAINT.format(key="(a, order_idx, ann_id)").replace("FROM ann_px)", f"FROM {FORMS} f)"), "ann_px")
+def _overlap_forms(t):
+    runs, _ = paint_annotations(mixed_annotations(t), "higher_area_wins")
+    return mk.runs_to_pixels(runs).withColumnRenamed("class_index", "class_id")
+
+
+@query("overlap_rejects", """
+SELECT image_id, ann_id, 'counts do not fill the image' AS reason FROM ann WHERE order_idx % 3 > 0 AND order_idx % 13 = 0
+""", "ann")
+def _overlap_rejects(t):
+    return paint_annotations(mixed_annotations(t), "last_annotation_wins")[1]
+
+
+@query("overlap_resolve_no_rle", PAINT.format(key="(order_idx, ann_id)").replace("FROM ann_px)", "FROM ann_px WHERE order_idx % 3 = 0)"), "ann_px")
+def _overlap_no_rle(t):
+    runs, _ = paint_annotations(mixed_annotations(t), "last_annotation_wins", use_rle=False)
+    return mk.runs_to_pixels(runs).withColumnRenamed("class_index", "class_id")
 
 
 @query("seed_masks_from_annotations", f"""
@@ -114,31 +172,35 @@ def _seed(t):
     ), frozen=True).groupBy("path").agg(F.sum("col_len").alias("pixels"))
 
 
+def drawn_runs(t):
+    sized = t.polygons.withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
+    return mk.polygon_runs(sized, ["ann_id", "image_id", "category_id"]).select(
+        "image_id", F.col("category_id").alias("class_id"), "row", "col_start", "col_len"
+    )
+
+
+def live_runs(t):
+    return mk.class_runs(t.px, "pred_raw")
+
+
 @query("mask_union", """
 SELECT image_id, class_id, count(*) AS pixels FROM (
   SELECT image_id, category_id AS class_id, "row", col FROM ann_px
   UNION SELECT image_id, pred_raw, "row", col FROM px WHERE pred_raw > 0) u GROUP BY ALL
 """, "ann_px px")
 def _union(t):
-    drawn = polygon_px(t, "category_id").select("image_id", F.col("category_id").alias("class_id"), "row", "col")
-    live = t.px.where("pred_raw > 0").select("image_id", F.col("pred_raw").alias("class_id"), "row", "col")
-    return mk.mask_union(drawn, live).groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"))
+    both = lr.union_runs(drawn_runs(t).unionByName(live_runs(t)), ["image_id", "class_id"])
+    return both.groupBy("image_id", "class_id").agg(F.sum("col_len").alias("pixels"))
 
 
 @query("mask_difference", """
 SELECT DISTINCT p.image_id, p.pred_raw AS class_id, p.seg_id FROM px p
-WHERE p.pred_raw > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT image_id, category_id, "row", col FROM ann_px WHERE area > 40) a
+WHERE p.pred_raw > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT image_id, category_id, "row", col FROM ann_px) a
   WHERE a.image_id = p.image_id AND a.category_id = p.pred_raw AND a."row" = p."row" AND a.col = p.col)
 """, "ann_px px")
 def _difference(t):
-    big = mk.runs_to_pixels(mk.polygon_runs(
-        t.polygons.where("area > 40").withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)}),
-        ["image_id", "category_id", "ann_id"],
-    ))
-    frozen = big.select("image_id", F.col("category_id").alias("class_id"), "row", "col")
-    saved = t.px.where("pred_raw > 0").select("image_id", F.col("pred_raw").alias("class_id"), "row", "col")
-    editable = mk.mask_difference(saved, frozen, ["image_id", "class_id"])
-    return mk.touched_regions(editable, t.px, ["image_id", "class_id"])
+    editable = lr.difference_runs(live_runs(t), drawn_runs(t), ["image_id", "class_id"])
+    return mk.touched_regions(mk.runs_to_pixels(editable), t.px, ["image_id", "class_id"])
 
 
 @query("runs_to_pixels", """

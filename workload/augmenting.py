@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from maskloom.operators import augment as au
+from maskloom.operators import masks as mk
 from maskloom.plans import augmentation as plan
 from maskloom.operators.stencils import gaussian_taps
 from workload.features import pass_sql
@@ -147,6 +148,24 @@ def _augment_dataset(t):
     return out.select("new_annotation_id", "new_image_id", "category_id", "area", "x", "y", "box_width", "box_height")
 
 
+@query("augment_dataset_rle", f"""
+WITH {PLAN}, b AS (SELECT * FROM ann WHERE w * h >= 12),
+m AS (SELECT pl.new_image_id, b.ann_id, CASE transform WHEN 'rot90' THEN y0 WHEN 'flip_h' THEN 32 - x0 - w ELSE x0 END AS x,
+  CASE transform WHEN 'rot90' THEN 32 - x0 - w ELSE y0 END AS y, CASE transform WHEN 'rot90' THEN h ELSE w END AS bw,
+  CASE transform WHEN 'rot90' THEN w ELSE h END AS bh FROM pl JOIN b ON b.image_id = pl.image_id),
+c AS (SELECT *, 1024 - x * 32 - y - (bw - 1) * 32 - bh AS tail FROM m)
+SELECT new_image_id, ann_id, x * 32 + y || ',' || bh || repeat(',' || (32 - bh) || ',' || bh, bw - 1)
+  || CASE WHEN tail > 0 THEN ',' || tail ELSE '' END AS counts FROM c
+""", "images ann")
+def _augment_dataset_rle(t):
+    sized = t.polygons.where("w * h >= 12").withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
+    runs = mk.polygon_runs(sized, ["image_id", "ann_id"])
+    out = plan.augment_encoded(runs, _plan(t), t.images, ["ann_id"])
+    # Through the compressed text and back.
+    back = mk.decompress_counts(out.select("new_image_id", "ann_id", "compressed"), ["new_image_id", "ann_id"], "compressed")
+    return back.select("new_image_id", "ann_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
 @query("augment_pixels", f"""
 WITH {PLAN} SELECT pl.new_image_id, CASE transform WHEN 'rot90' THEN 31 - p.col ELSE p."row" END AS "row",
   CASE transform WHEN 'rot90' THEN p."row" WHEN 'flip_h' THEN 31 - p.col ELSE p.col END AS col,

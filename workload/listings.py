@@ -8,6 +8,7 @@ from maskloom.operators import datasets as ds
 from maskloom.operators import listings as ls
 from maskloom.operators import masks as mk
 from maskloom.operators import statistics as st
+from maskloom.operators.line_runs import merge_overlap_runs
 from maskloom.operators.ordering import ordered_index
 from workload.registry import query
 from workload.tables import SIDE
@@ -335,16 +336,15 @@ def _merge(t):
     return ds.remap_annotations(ann, images, F.broadcast(categories)).select("ann_id", "merged_image_id", "merged_category_id")
 
 
-def merge_cover(t, where="true"):
+def merge_lines(t, where="true"):
     runs = t.ann.where(where).select(
         F.expr("cast(order_idx DIV 8 % 2 AS int)").alias("dataset_index"), "order_idx", "ann_id", "image_id", "x0", "y0", "w", "h"
     )
     ranked = ds.merge_priority(runs, "last", ["order_idx", "ann_id"])
-    lines = ranked.select(
+    return ranked.select(
         "rank", "ann_id", "image_id", F.explode(F.expr("sequence(y0, y0 + h - 1)")).alias("row"),
         F.col("x0").alias("col_start"), F.col("w").alias("col_len"),
     )
-    return mk.runs_to_pixels(lines)
 
 
 @query("merge_overlap", f"""
@@ -353,8 +353,7 @@ p AS (SELECT rank, image_id, r2 AS "row", x0 + unnest(range(w)) AS col FROM (SEL
 SELECT image_id, "row", col, min(rank) AS rank FROM p GROUP BY image_id, "row", col
 """, "ann")
 def _merge_overlap(t):
-    cover = merge_cover(t)
-    owned, _ = ds.merge_overlap(cover, "trim", 1)
+    owned = mk.runs_to_pixels(merge_overlap_runs(merge_lines(t), "trim", 1)[0])
     return owned.select("image_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "rank")
 
 
@@ -367,17 +366,17 @@ SELECT sum((overlap < area)::INT)::BIGINT AS kept_annotations, sum((overlap > 0)
        sum(overlap)::BIGINT AS overlap_pixels, sum((overlap = area)::INT)::BIGINT AS dropped_overlap, CAST(0 AS BIGINT) AS dropped_small FROM v
 """, "ann")
 def _merge_stats(t):
-    return ds.merge_stats(ds.merge_overlap(merge_cover(t), "trim", 1)[1])
+    return ds.merge_stats(merge_overlap_runs(merge_lines(t), "trim", 1)[1])
 
 
 @query("merge_overlap_skip")
 def _merge_skip(t):
-    return ds.merge_overlap(merge_cover(t), "skip", 6)[1]
+    return merge_overlap_runs(merge_lines(t), "skip", 6)[1]
 
 
 @query("merge_overlap_trim_min_area")
 def _merge_trim(t):
-    return ds.merge_overlap(merge_cover(t), "trim", 9)[1]
+    return merge_overlap_runs(merge_lines(t), "trim", 9)[1]
 
 
 @query("ordered_union_names", """
