@@ -41,40 +41,58 @@ def shared_lines(docs: DataFrame, id_column: str, min_docs: int, min_chars: int)
     )
 
 
+# A shared line's rows are dealt to so many parts by their id, and the few shared keys go to each.
+PARTS = 16
+
+
 def dedup_lines(docs: DataFrame, id_column: str, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``docs`` with ``text`` freed of shared lines, and ``n_lines``, ``n_dropped``.
+    """``docs`` with ``text`` freed of shared lines, and ``n_lines``, ``n_dropped`` (in place of columns so named).
 
-    Hashed lines with their positions meet the shared keys; the dropped positions of a row go back to
-    its text, whose other lines are joined in order.  A row is known by its id and a checksum of its
-    text, so repeated and null ids are told apart, and equal rows get equal results.  Null text is one
-    empty line and returns as the empty string.  Other columns pass through; an empty table stays
-    empty.
+    Hashed lines with their positions meet the shared keys in ``PARTS`` parts by id, so a line that a third of all
+    documents hold is no single task; the dropped positions of a row go back to its text, whose other lines
+    are joined in order.  A row is known by its id and a checksum of its text, so repeated and null ids are
+    told apart, and equal rows get equal results.  Null text is one empty line and returns as the empty string.
+    Other columns pass through, whatever their names; an empty table stays empty.
     """
-    docs = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    shared = shared_lines(docs, id_column, min_docs, min_chars)
-    lines = docs.select(
-        F.col(id_column).alias("_id"), F.hash("text").alias("_sum"),
-        F.posexplode(line_keys(F.col("text"))).alias("_at", "_key"),
-    )
-    hashed = lines.where(F.length("_key") >= min_chars).select("_id", "_sum", "_at", *key_hash(F.col("_key")))
-    dropped = hashed.join(shared, ["h1", "h2"], "left_semi").groupBy("_id", "_sum").agg(
-        F.collect_set("_at").alias("_dropped")
+    carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)]
+    rows = docs.select(
+        F.struct(*own).alias("row"), F.col(id_column).alias("id"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("sum", F.hash("text"))
+    part = F.pmod(F.xxhash64("id", "sum"), F.lit(PARTS)).cast("int").alias("part")
+    lines = rows.select("id", "sum", part, F.posexplode(line_keys(F.col("text"))).alias("at", "key"))
+    hashed = lines.where(F.length("key") >= min_chars).select("id", "sum", "part", "at", *key_hash(F.col("key")))
+    shared = shared_lines(rows.select("id", "text"), "id", min_docs, min_chars).select(
+        "h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
     )
-    same = docs[id_column].eqNullSafe(dropped["_id"]) & (F.hash(docs["text"]) == dropped["_sum"])
-    cut = docs.join(dropped, same, "left").withColumn("_lines", F.split("text", "\n"))
-    n_lines = F.size("_lines")
-    kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("_dropped"))
-    cut = cut.withColumn("_kept", F.when(F.col("_dropped").isNotNull(), kept))
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
+    dropped = hashed.join(shared, ["h1", "h2", "part"], "left_semi").groupBy(
+        F.col("id").alias("gone_id"), F.col("sum").alias("gone_sum")
+    ).agg(F.collect_set("at").alias("gone"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sum") == F.col("gone_sum"))
+    split = rows.join(dropped, same, "left").withColumn("parts", F.split("text", "\n"))
+    n_lines = F.size("parts")
+    kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("gone"))
+    cut = split.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform("kept", lambda i: F.get("parts", i)), "\n")
     )
     return cut.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == "text" else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(carried)],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("kept")).cast("long").alias("n_dropped"),
     )
 
 
+def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """``docs`` with ``text`` freed of shared lines; columns unchanged, whatever their names."""
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    packed = docs.select("doc_id", "text", F.struct(*own).alias("whole"))
+    done = dedup_lines(packed, "doc_id", min_docs, min_chars)
+    return done.select(*[
+        F.col("text") if c == "text" else F.col("whole")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)
+    ])
+
+
 def line_dedup_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` per document."""
     done = dedup_lines(docs.select("doc_id", "text"), "doc_id", min_docs, min_chars)

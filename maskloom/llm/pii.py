@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from maskloom.llm.common import id_and_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-# Further kinds: addresses with a user part, accounts with a check, access keys, assigned secrets.
-MORE_KINDS = ("url", "iban", "ssn", "key", "secret")
+# Further kinds: addresses with a user part, accounts with a check, access keys, assigned secrets, national numbers.
+MORE_KINDS = ("url", "iban", "ssn", "key", "secret", "tel")
 KINDS = BASE_KINDS + MORE_KINDS
 
 # The base patterns' character sets.
@@ -32,13 +32,20 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 USER_URL = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+(?::[^\s@/]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
-IBAN = re.compile(r"[\s:=#]*([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})")
-SSN = re.compile(r"[\s:=#]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_/+-]{16,})")
+# Between a cue and what it announces: marks and a few filler words.
+FILLER = r"(?:[\s:=#.]|(?:is|was|no|nr|num|number)\b)*+"
+IBAN = re.compile(FILLER + r"([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})")
+SSN = re.compile(FILLER + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+ACCESS_KEY = re.compile(
+    r"(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+)
+BARE_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
+TEL = re.compile(r"\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[.-][0-9]{4}(?![0-9-])")
+ASSIGNED = re.compile(r"\s*(?:is\s|[:=])\s*[\"']?([A-Za-z0-9_/+-]{16,})")
 
 CUES = {"iban": "iban", "ssn": "ssn", "token": "secret", "secret": "secret", "password": "secret", "api_key": "secret",
-        "apikey": "secret"}
+        "apikey": "secret", "api key": "secret", "api-key": "secret", "passwd": "secret"}
+KEY_HEADS = ("akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "-----begin ")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
 # Countries with the length of their accounts.
 IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
@@ -57,7 +64,8 @@ def anchors() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     automaton.add_word("@", ("at", 1))
     automaton.add_word("+", ("plus", 1))
-    automaton.add_word("akia", ("key", 4))
+    for head in KEY_HEADS:
+        automaton.add_word(head, ("key", len(head)))
     for digit in "0123456789":
         automaton.add_word(digit, ("digit", 1))
     for scheme in SCHEMES:
@@ -119,6 +127,20 @@ def find(text: str) -> list[tuple[str, int, int]]:
     for at_end, (what, length) in anchors().iter(ascii_lower(text)):
         at = at_end + 1 - length
         if what == "digit":
+            before = text[at - 1] if at else ""
+            if "A" <= before <= "Z" and at >= 2 and at - 2 >= last["iban"] and (at == 2 or not text[at - 3].isalnum()):
+                # An account carries its own check, so a listed country needs no cue.
+                if text[at - 2:at] in IBAN_LENGTHS and (account := BARE_IBAN.match(text, at - 2)):
+                    end = iban_end(text, at - 2, account.end())
+                    if end > 0:
+                        last["iban"] = end
+                        found.append(("iban", at - 2, end))
+            if not before.isalnum() and before not in tuple("+.-") and at >= max(phone_end, last["tel"]):
+                start = at - (before == "(")
+                if number := TEL.match(text, start):
+                    last["tel"] = number.end()
+                    if not text[max(start - 3, 0):start].strip().endswith(tuple("+0123456789")):
+                        found.append(("tel", start, number.end()))
             if at >= chain_end:
                 chain = DIGIT_CHAIN.match(text, at)
                 chain_end = chain.end()

@@ -169,13 +169,21 @@ def judge(
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``judge`` rejects; a row is known by its id and a checksum of its text."""
-    summed = docs.withColumn("_sum", F.hash("text"))
-    kept = judge(summed.select("doc_id", "lang", "source", "text", "_sum")).where("kept").select(
-        F.col("doc_id").alias("_doc"), F.col("_sum").alias("_kept")
-    )
-    same = summed["doc_id"].eqNullSafe(kept["_doc"]) & (summed["_sum"] == kept["_kept"])
-    return summed.join(kept, same, "left_semi").drop("_sum")
+    """``docs`` without the rows that ``judge`` rejects, columns unchanged, whatever their names.
+
+    A row is known by its id, language, source and a checksum of its text, so equal texts of different groups are
+    judged each by its own.  Null ids, texts, languages and sources are values like others; equal rows stay or go
+    together; an empty table stays empty.
+    """
+    keys = ["doc_id", "lang", "source", "sum"]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.struct(*own).alias("row"), "doc_id", "lang", "source", F.hash("text").alias("sum"))
+    summed = docs.select("doc_id", "lang", "source", "text", F.hash("text").alias("sum"))
+    kept = judge(summed).where("kept").select(*[F.col(k).alias(f"kept_{k}") for k in keys])
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"kept_{key}"))
+    return rows.join(kept, same, "left_semi").select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
