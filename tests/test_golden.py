@@ -1,5 +1,6 @@
 """Small worked examples with known answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions import hashing, numbers, strings, times, vectors
@@ -57,19 +58,23 @@ def test_cleanup_chain(raster, grid_of):
 
 
 def test_adjacency(raster):
-    px = raster({1: {"seg_id": [[0, 0, 1], [0, 2, 2], [3, 2, 4]]}})
-    pairs = {(r["src"], r["dst"]) for r in grids.region_adjacency(px).collect()}
-    assert pairs == {(0, 1), (0, 2), (0, 3), (1, 2), (2, 3), (2, 4)}
+    # 7 meets 8 once beside and once above it, and lies on 9 with two pixels; 9 and 8 meet once on the second line.
+    px = raster({1: {"seg_id": [[7, 7, 7, 8], [9, 9, 8, 8]]}})
+    pairs = {(r["src"], r["dst"]): r["shared"] for r in grids.region_adjacency(px).collect()}
+    assert pairs == {(7, 8): 2, (7, 9): 2, (8, 9): 1}
 
 
 def test_flip_stats(raster):
-    px = raster({1: {"raw": [[0, 1], [1, 0]], "ref": [[0, 0], [1, 1]]}})
+    # Two of three pixels of class 1 go over to class 2, which had one.
+    px = raster({1: {"raw": [[1, 1, 1, 2, 0]], "ref": [[1, 2, 2, 2, 0]]}})
     pairs = st.label_pairs(px, "raw", "ref", ["image_id"])
     total = st.flip_totals(pairs).first()
-    assert (total["total_pixels"], total["flip_pixels"], total["flip_rate"]) == (4, 2, 0.5)
+    assert (total["total_pixels"], total["flip_pixels"], total["flip_rate"]) == (5, 2, 0.4)
     per = {r["class_id"]: r for r in st.flip_stats(pairs, CLASSES).collect()}
-    assert all(per[c]["flipped_out_pixels"] == 1 and per[c]["flipped_in_pixels"] == 1 for c in (0, 1))
-    assert per[2]["flipped_out_rate"] == 0.0
+    assert [per[c]["flipped_out_pixels"] for c in (0, 1, 2)] == [0, 2, 0]
+    assert [per[c]["flipped_in_pixels"] for c in (0, 1, 2)] == [0, 0, 2]
+    assert per[1]["flipped_out_rate"] == per[2]["flipped_in_rate"] == pytest.approx(2 / 3)
+    assert per[0]["flipped_out_rate"] == 0.0
 
 
 def test_flip_in_equals_out(raster):
@@ -87,21 +92,26 @@ def test_iou_is_null_when_absent(raster):
 
 
 def test_chi_square(spark):
-    df = spark.createDataFrame([([0.25, 0.25, 0.5], [0.25, 0.25, 0.5]), ([0.5, 0.25, 0.25], [0.25, 0.25, 0.5])], "a array<double>, b array<double>")
-    same, other = [r["d"] for r in df.select(vectors.chi_square(F.col("a"), F.col("b")).alias("d")).collect()]
-    assert same == 0 and other > 0
+    # All weight in one bin each: every bin gives half of one.
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.0, 1.0], [0.0, 1.0])], "a array<double>, b array<double>")
+    apart, same = [r["d"] for r in df.select(vectors.chi_square(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert same == 0 and apart == pytest.approx(1, rel=1e-6)
 
 
 def test_similarity(spark):
+    # Region 4 is five colour steps (3, 4, 0) off the seed, region 5 has its colour and another texture.
     feats = spark.createDataFrame(
-        [(0, 1, [20.0, 0.0, 0.0], [0.8, 0.2]), (1, 1, [22.0, 0.0, 0.0], [0.75, 0.25]), (2, 1, [70.0, 0.0, 0.0], [0.2, 0.8])],
+        [(3, 1, [50.0, 10.0, -10.0], [1.0, 0.0]), (4, 1, [53.0, 14.0, -10.0], [1.0, 0.0]), (5, 1, [50.0, 10.0, -10.0], [0.0, 1.0])],
         "seg_id int, label int, lab array<double>, hist array<double>",
     )
     pairs = similarity.with_seed(feats, "label")
-    hit = similarity.similarity_select(pairs, 4.0, 0.05).where("matched")
-    assert {r["seg_id"] for r in hit.collect()} == {0, 1}
-    both_off = similarity.similarity_select(pairs, 4.0, 0.05, color=False, texture=False).where("matched")
-    assert {r["seg_id"] for r in both_off.collect()} == {0, 1}
+
+    def hit(*limits, **tests):
+        return {r["seg_id"] for r in similarity.similarity_select(pairs, *limits, **tests).where("matched").collect()}
+
+    assert hit(5.0, 0.5) == {3, 4} and hit(4.9, 0.5) == {3}
+    assert hit(4.9, 0.5, texture=False) == {3, 5} and hit(4.9, 0.5, color=False) == {3, 4}
+    assert hit(4.9, 0.5, color=False, texture=False) == {3, 5}
 
 
 def test_roi(raster, spark):
