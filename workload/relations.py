@@ -243,13 +243,13 @@ def _brush(t):
 
 @query("roi_candidates", """
 SELECT DISTINCT p.image_id, p.seg_id FROM px p JOIN ann_px a ON a.image_id = p.image_id AND a."row" = p."row" AND a.col = p.col
-WHERE a.area BETWEEN 5 AND 8
 """, "px ann_px")
 def _roi(t):
+    from maskloom.operators.line_runs import union_runs
     from maskloom.operators.masks import polygon_runs, runs_to_pixels
 
-    small = t.polygons.where("area BETWEEN 5 AND 8").withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
-    cells = runs_to_pixels(polygon_runs(small, ["ann_id", "image_id"])).select("image_id", "row", "col").distinct()
+    sized = t.polygons.withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
+    cells = runs_to_pixels(union_runs(polygon_runs(sized, ["ann_id", "image_id"]), ["image_id"]))
     return rel.touched_segments(cells, t.px, ["image_id"])
 
 
