@@ -34,7 +34,7 @@ def moved(transform: str, row: Column, col: Column, height: Column, width: Colum
         "rot90": (width - 1 - col, row), "rot180": (height - 1 - row, width - 1 - col),
     }
     if transform not in places:
-        raise ValueError(f"unsupported geometric transform: {transform}")
+        raise ValueError(f"no such geometric step: {transform}")
     return places[transform]
 
 
@@ -167,7 +167,7 @@ def apply_transform(px: DataFrame, transform: str, settings: dict = {}, seed: in
     if transform in GEOMETRIC:
         return geometric(px, transform)
     if transform not in TRANSFORMS:
-        raise ValueError(f"unsupported transform: {transform}")
+        raise ValueError(f"no step is registered as {transform!r}")
     return TRANSFORMS[transform](px, settings, seed)
 
 

@@ -31,7 +31,15 @@ def merge_categories(categories: DataFrame) -> DataFrame:
 
 
 def merge_images(images: DataFrame) -> DataFrame:
-    """Images of several sources merged by file name.  Input: dataset_index, pos, image_id, file_name."""
+    """Images of several sources merged by file name.  Input: dataset_index, pos, image_id, file_name, and height and width.
+
+    A name that comes with two sizes fails the merge; without sizes nothing is compared.
+    """
+    if "width" in images.columns:
+        message = F.concat(F.lit("one file name, two sizes: "), "file_name")
+        clash = size_clashes(images).select("file_name", F.raise_error(message).cast("boolean").alias("_clash"))
+        # The error is raised by the row that clashes; where none does, the join is with nothing.
+        images = images.join(clash, "file_name", "left").where(F.col("_clash").isNull()).drop("_clash")
     merged = first_occurrence(images, F.col("file_name"), ["dataset_index", "pos"], "merged_image_id", ["file_name"])
     return images.join(merged.select("merged_image_id", "file_name"), "file_name").select(
         "dataset_index", "image_id", "file_name", "merged_image_id"

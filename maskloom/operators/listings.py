@@ -107,27 +107,46 @@ def relabel_contiguous(px: DataFrame, segment: str, image: str = "image_id") ->
     return px.join(numbered, [image, segment])
 
 
-def unique_names(wanted: DataFrame, existing: DataFrame, scope: str = "scope") -> DataFrame:
-    """Collision-free names: ``base``, else ``base (n)`` with the smallest free n from 2.
-
-    The smallest free number is the smallest of {2} and {taken + 1} that is not taken: one anti join
-    and one minimum, whatever the number of copies.  Both frames are ``scope, name``.
+def workspace_counts(counts: dict[str, DataFrame]) -> DataFrame:
+    """One row per workspace with a column per kind; each kind comes counted, ``workspace_id, count``, so little moves."""
+    both = None
+    for kind, frame in counts.items():
+        part = frame.select("workspace_id", F.lit(kind).alias("_kind"), "count")
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy("workspace_id").agg(*[
+        F.coalesce(F.sum(F.when(F.col("_kind") == kind, F.col("count"))), F.lit(0)).alias(kind) for kind in counts
+    ])
+
+
+def _smallest_free(clash: DataFrame, numbers: DataFrame, keys: list[str], first: int) -> DataFrame:
+    """``keys, _n``: the smallest number from ``first`` on that ``numbers`` (keys, _n) do not hold for a key of ``clash``.
+
+    It is the smallest of {first} and {taken + 1} that is not taken: one anti join and one minimum, whatever the number of
+    copies.
     """
-    taken = existing.select(scope, F.lower("name").alias("_k")).distinct()
-    pattern = r"^(.*) \((\d+)\)$"
-    numbers = taken.where(F.col("_k").rlike(pattern)).select(
-        scope, F.regexp_extract("_k", pattern, 1).alias("_k"),
-        F.regexp_extract("_k", pattern, 2).alias("_text"),
+    asked = clash.select(*keys).distinct()
+    options = asked.withColumn("_n", F.lit(first).cast("long")).unionByName(
+        numbers.join(asked, keys, "left_semi").withColumn("_n", F.col("_n") + 1)
+    ).distinct()
+    return options.join(numbers, [*keys, "_n"], "left_anti").groupBy(*keys).agg(F.min("_n").alias("_n"))
+
+
+def _numbered(taken: DataFrame, pattern: str, parts: dict[str, int], number: int, keys: list[str], first: int) -> DataFrame:
+    """Names of ``_k`` that carry a plain number: ``keys, _n``."""
+    return taken.where(F.col("_k").rlike(pattern)).select(
+        *[k for k in keys if k not in parts], *[F.regexp_extract("_k", pattern, i).alias(k) for k, i in parts.items()],
+        F.regexp_extract("_k", pattern, number).alias("_text"),
     ).withColumn("_n", F.col("_text").try_cast("bigint")).where(
-        (F.col("_n") >= 2) & (F.col("_n").cast("string") == F.col("_text"))
-    ).select(scope, "_k", "_n")
+        (F.col("_n") >= first) & (F.col("_n").cast("string") == F.col("_text"))
+    ).select(*keys, "_n")
+
+
+def unique_names(wanted: DataFrame, existing: DataFrame, scope: str = "scope") -> DataFrame:
+    """Collision-free names: ``base``, else ``base (n)`` with the smallest free n from 2.  Both frames are ``scope, name``."""
+    taken = existing.select(scope, F.lower("name").alias("_k")).distinct()
+    numbers = _numbered(taken, r"^(.*) \((\d+)\)$", {"_k": 1}, 2, [scope, "_k"], 2)
     asked = wanted.select(scope, "name", F.lower("name").alias("_k")).distinct()
-    clash = asked.join(taken, [scope, "_k"], "left_semi")
-    keys = clash.select(scope, "_k").distinct()
-    options = keys.withColumn("_n", F.lit(2).cast("long")).unionByName(
-        numbers.join(keys, [scope, "_k"], "left_semi").withColumn("_n", F.col("_n") + 1)
-    ).distinct()
-    free = options.join(numbers, [scope, "_k", "_n"], "left_anti").groupBy(scope, "_k").agg(F.min("_n").alias("_n"))
+    free = _smallest_free(asked.join(taken, [scope, "_k"], "left_semi"), numbers, [scope, "_k"], 2)
     return asked.join(free, [scope, "_k"], "left").select(
         scope, "name",
         F.when(F.col("_n").isNull(), F.col("name")).otherwise(
@@ -136,6 +155,25 @@ def unique_names(wanted: DataFrame, existing: DataFrame, scope: str = "scope") -
     )
 
 
+def unique_files(wanted: DataFrame, existing: DataFrame, scope: str = "scope") -> DataFrame:
+    """Collision-free file names: ``stem.ext``, else ``stem_n.ext`` with the smallest free n from 1, in any case of letters."""
+    keys = [scope, "_stem", "_ext"]
+    taken = existing.select(scope, F.lower("name").alias("_k")).distinct()
+    numbers = _numbered(taken, r"^(.*)_(\d+)(\.[^.]*|)$", {"_stem": 1, "_ext": 3}, 2, keys, 1)
+    split = r"^(.*?)(\.[^.]*|)$"
+    own = wanted.select(scope, "name").distinct().withColumns({
+        "_k": F.lower("name"), "_stem": F.regexp_extract(F.lower("name"), split, 1), "_ext": F.regexp_extract(F.lower("name"), split, 2),
+    })
+    free = _smallest_free(own.join(taken, [scope, "_k"], "left_semi"), numbers, keys, 1)
+    clash = own.join(taken, [scope, "_k"], "left_semi").select(scope, "name", *keys[1:]).join(free, keys).select(scope, "name", "_n")
+    stem, ext = F.regexp_extract("name", split, 1), F.regexp_extract("name", split, 2)
+    return own.select(scope, "name").join(clash, [scope, "name"], "left").select(
+        scope, "name",
+        F.when(F.col("_n").isNull(), F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n"), ext)).alias("unique_name"),
+    )
+
+
+
 def step_select(
     images: DataFrame, mode: str, percent: float, seed: int = 0, names: DataFrame | None = None,
     name: str = "file_name", key: str = "image_id",

@@ -123,6 +123,30 @@ def _unique(t):
     return ls.unique_names(asked, existing)
 
 
+FILES = """
+held AS (SELECT DISTINCT o_custkey % 20 AS scope, CASE o_orderkey % 3 WHEN 0 THEN 'IMG_' || o_orderkey % 5 || '.PNG'
+  ELSE 'img_' || o_orderkey % 5 || '_' || o_orderkey % 7 || '.png' END AS name FROM orders),
+asked AS (SELECT DISTINCT s_suppkey % 20 AS scope, 'img_' || s_suppkey % 9 || '.png' AS name FROM supplier)
+"""
+
+
+@query("unique_files", f"""
+WITH {FILES}
+SELECT a.scope, a.name, CASE WHEN NOT EXISTS (SELECT 1 FROM held e WHERE e.scope = a.scope AND lower(e.name) = lower(a.name)) THEN a.name
+  ELSE replace(a.name, '.png', '') || '_' || min(n.n) || '.png' END AS unique_name
+FROM asked a JOIN (SELECT unnest(range(1, 50)) AS n) n
+  ON NOT EXISTS (SELECT 1 FROM held e WHERE e.scope = a.scope AND lower(e.name) = replace(a.name, '.png', '') || '_' || n.n || '.png')
+GROUP BY a.scope, a.name
+""")
+def _unique_files(t):
+    held = t.read("orders").selectExpr(
+        "o_custkey % 20 AS scope",
+        "IF(o_orderkey % 3 = 0, concat('IMG_', o_orderkey % 5, '.PNG'), concat('img_', o_orderkey % 5, '_', o_orderkey % 7, '.png')) AS name",
+    )
+    asked = t.read("supplier").selectExpr("s_suppkey % 20 AS scope", "concat('img_', s_suppkey % 9, '.png') AS name")
+    return ls.unique_files(asked, held)
+
+
 STEP_N = "(SELECT CAST(round_even(0.35::DOUBLE * count(*), 0) AS BIGINT) FROM images)"
 
 
@@ -153,20 +177,21 @@ def _bucket(t):
 
 
 @query("dashboard_counts", """
-SELECT workspace_id, sum(images)::BIGINT AS images, sum(datasets)::BIGINT AS datasets, sum(drafts)::BIGINT AS drafts FROM (
-  SELECT workspace_id, 1 AS images, 0 AS datasets, 0 AS drafts FROM images UNION ALL SELECT workspace_id, 0, 1, 0 FROM datasets
-  UNION ALL SELECT workspace_id, 0, 0, 1 FROM drafts) u GROUP BY workspace_id
-""", "images datasets drafts")
+SELECT workspace_id, sum((kind = 'i')::INT)::BIGINT AS images, sum((kind = 'd')::INT)::BIGINT AS datasets, sum((kind = 'f')::INT)::BIGINT AS drafts,
+  sum((kind = 'm')::INT)::BIGINT AS models, sum((kind = 'r')::INT)::BIGINT AS runs FROM (
+  SELECT workspace_id, 'i' AS kind FROM images UNION ALL SELECT workspace_id, 'd' FROM datasets UNION ALL SELECT workspace_id, 'f' FROM drafts
+  UNION ALL SELECT d.workspace_id, 'm' FROM models m JOIN datasets d ON d.dataset_id = m.dataset_id
+  UNION ALL SELECT workspace_id, 'r' FROM runs) u GROUP BY workspace_id
+""", "images datasets drafts models runs")
 def _dashboard(t):
-    # Each table is counted before the union, so only per-workspace counts move.
-    parts = [
-        frame.groupBy("workspace_id").count().select("workspace_id", F.lit(kind).alias("kind"), "count")
-        for kind, frame in (("images", t.images), ("datasets", t.datasets), ("drafts", t.drafts))
-    ]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.groupBy("workspace_id").agg(*[
-        F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("count"))), F.lit(0)).alias(k) for k in ("images", "datasets", "drafts")
-    ])
+    # A model is in the workspace of its dataset; it is counted per dataset before the two meet.
+    models = t.models.groupBy("dataset_id").count().join(t.datasets.select("dataset_id", "workspace_id"), "dataset_id").groupBy(
+        "workspace_id"
+    ).agg(F.sum("count").alias("count"))
+    return ls.workspace_counts({
+        **{k: f.groupBy("workspace_id").count() for k, f in (("images", t.images), ("datasets", t.datasets), ("drafts", t.drafts), ("runs", t.runs))},
+        "models": models,
+    })
 
 
 # --- drafts -----------------------------------------------------------------------------------
@@ -327,7 +352,7 @@ def _merge(t):
     half = F.expr("cast(order_idx DIV 8 % 2 AS int)")
     ann = t.ann.select("ann_id", "image_id", "category_id", half.alias("dataset_index"))
     listed = ann.where("image_id % 9 <> dataset_index").select("dataset_index", "image_id").distinct()
-    images = ds.merge_images(listed.withColumns({"pos": F.col("image_id"), "file_name": F.concat(F.lit("img_"), "image_id")}))
+    images = ds.merge_images(listed.withColumns({"pos": F.col("image_id"), "file_name": F.concat(F.lit("img_"), "image_id"), "height": F.lit(SIDE), "width": F.lit(SIDE)}))
     names = t.spark.createDataFrame(
         [(0, 0, 1, "road"), (0, 1, 2, "roof"), (1, 0, 2, "tree"), (1, 1, 3, "road")],
         "dataset_index int, pos int, category_id int, name string",
