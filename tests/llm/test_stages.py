@@ -77,3 +77,26 @@ def test_further_personal_data(text, kind, value):
 def test_numbers_that_are_no_personal_data():
     for text in ("1-415-555-0100-2", "on 2024-01-01", "AB12 3456 7890 1234 5678", "XDE89370400440532013000", "DE88370400440532013000", "v415.555-01001"):
         assert [s for s in pii.find(text) if s[0] in pii.MORE_KINDS] == []
+
+
+def test_regions_part_at_sizes(spark):
+    """Shared regions against plain Python: split by cell and size, single sets left out, equal rows once."""
+    import random
+
+    from maskloom.llm import nearjoin
+
+    rng = random.Random(3)
+    nodes = {i: rng.choice([3, 4, 9, 10, 11, 30]) for i in range(-20, 20)}
+    rows = [(rng.randrange(12), nodes[n], n) for n in rng.choices(sorted(nodes), k=150)]
+    got = {}
+    for r in nearjoin.shared_cells(spark.createDataFrame(rows, "cell bigint, n bigint, node bigint"), 80).where("members = 0").collect():
+        got.setdefault(r["cell"], []).append(r["node"])
+    want = []
+    for cell in range(12):
+        group = []
+        for n, node in sorted({(n, node) for c, n, node in rows if c == cell}) + [(10 ** 9, 0)]:
+            if group and 100 * group[-1][0] < 80 * n:
+                want += [sorted(x for _, x in group)] if len(group) > 1 else []
+                group = []
+            group.append((n, node))
+    assert sorted(map(sorted, got.values())) == sorted(want)
